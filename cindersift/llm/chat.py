@@ -58,7 +58,7 @@ def branches(messages: DataFrame) -> DataFrame:
     """
     nodes = messages.where("msg_id IS NOT NULL").groupBy(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "msg_id").agg(F.min("parent_id").alias("parent_id"))
     known = nodes.select("conv", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
-    nodes = settle(nodes.join(known, ["conv", "parent_id"], "left").select("conv", "msg_id", F.when("known", F.col("parent_id")).alias("jump")))
+    nodes = settle(nodes.join(known, ["conv", "parent_id"], "left").select("conv", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("jump")))
     leaves = nodes.join(nodes.select("conv", F.col("jump").alias("msg_id")).where("msg_id IS NOT NULL").distinct(), ["conv", "msg_id"], "left_anti")
     paths = leaves.select("conv", F.col("msg_id").alias("leaf"), F.lit(0).cast(LONG).alias("up"), "msg_id")
     jumps, step = nodes.where("jump IS NOT NULL"), 1

@@ -119,7 +119,7 @@ def oracle(alphas: dict[str, float] = ALPHAS, rounds: int = ROUNDS, budget: floa
         f"""d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
   CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, 'License') OR contains(t, 'Copyright') THEN 'legal'
   WHEN contains(t, '%%%') OR contains(t, '###') OR contains(t, '***') THEN 'markup' ELSE 'prose' END AS topic,
-  CAST(len(list_filter(regexp_split_to_array(t, '{space}'), x -> x <> '')) AS BIGINT) AS n_tokens
+  CAST(len(list_filter(regexp_split_to_array(t, '{space}'), lambda x: x <> '')) AS BIGINT) AS n_tokens
   FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents))""",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
