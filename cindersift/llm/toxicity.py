@@ -21,9 +21,9 @@ from .language import held_out
 #: The classifier is fitted on at most so many labelled documents, the first by hash of their id, half of each label if there are so many.
 MAX_FIT = 8_000
 BITS, FACTORS = 17, 4
-#: Distinct terms of a training text, by hash, that a step looks at: all of a text are scored.
-EPOCHS, RATE, DECAY = 12, 0.05, 2e-4
-LEAST_TEXTS = 3
+EPOCHS, RATE, DECAY = 15, 0.3, 1e-3
+#: A bucket is used if so many training texts have it and its chi-square against the label is at least so large.
+LEAST_TEXTS, LEAST_CHI2 = 5, 12.0
 TERM = re.compile(r"\w+")
 
 
@@ -42,6 +42,17 @@ class Buckets(dict):
         return np.unique(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
 
 
+def _telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Buckets whose presence in a training text depends on its label."""
+    toxic = [x for x, y in zip(texts, labels, strict=True) if y]
+    n, p = len(texts), len(toxic)
+    a = np.bincount(np.concatenate(toxic), minlength=1 << BITS).astype(float)
+    c = np.bincount(np.concatenate(texts), minlength=1 << BITS).astype(float)
+    spread = c * (n - c) * p * (n - p)
+    chi2 = np.divide(n * (a * n - c * p) ** 2, spread, out=np.zeros_like(a), where=spread > 0)
+    return (c >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2)
+
+
 class Machine:
     """Bias, weights and factors; a text is the set of its buckets that training met often enough."""
 
@@ -65,7 +76,7 @@ class Machine:
         if not len(texts) or labels.min() == labels.max():
             self.bias = -6.0 if not len(texts) or not labels.max() else 6.0
             return self
-        self.known = np.bincount(np.concatenate(texts), minlength=1 << BITS) >= LEAST_TEXTS
+        self.known = _telling(texts, labels)
         rows = [x[self.known[x]] for x in texts]
         self.bias = float(np.log(labels.mean() / (1 - labels.mean())))
         gw, gv = np.full(1 << BITS, 1e-2, np.float32), np.full((1 << BITS, FACTORS), 1e-2, np.float32)
@@ -90,7 +101,7 @@ class Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MAX_FIT) -> Machine:
     """Fit on labelled documents: at most ``most``, the bound of what the driver holds; null labels and texts teach nothing."""
-    marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     halves = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
     given = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
@@ -99,7 +110,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     for r in rows:
         texts.append(np.array(r["x"], np.int64))
         marks.append(r["toxic"])
-    return Machine().fit(texts, np.array(marks, np.float64))
+    machine, y = Machine(), np.array(marks, np.float64)
+    machine.fit(texts, y)
+    seen = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    if len(y) and 0 < y.mean() < 1:  # the sample's share of toxic rows is not that of the labels
+        machine.bias += float(np.log(seen[1] / seen[0]) - np.log(y.mean() / (1 - y.mean())))
+    return machine
 
 
 def _bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
