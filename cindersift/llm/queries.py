@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, mixing, near_dup, passages, quality, secrets, toxicity
+from . import chat, decontaminate, language, licenses, mixing, near_dup, passages, quality, secrets, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,5 +51,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_repeated_passages, op3_mixing, op5_quality_rules, op6_order_minhash, op7_decontamination, op8_toxicity, op9_chat_format, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_repeated_passages, op3_mixing, op4_license_scan, op5_quality_rules, op6_order_minhash, op7_decontamination, op8_toxicity, op9_chat_format, op10_language_id)}
 ORACLE_SQL = {"op3_mixing": mixing.oracle(), "op9_chat_format": chat.ORACLE}
