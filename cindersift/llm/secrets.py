@@ -153,5 +153,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", length:
     cut = F.transform("secrets", lambda s, i: body.substr(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("secrets", i - 1)["end"]).cast("int") + 1, (s["start"] - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("secrets", i - 1)["end"])).cast("int")))
     tail = body.substr((F.element_at("secrets", -1)["end"] + 1).cast("int"), F.length(body))
     new = F.when(F.size("secrets") == 0, body).otherwise(F.array_join(F.concat(cut, F.array(tail)), mark))
-    changed = out.select(*[(F.when(F.size("secrets") == 0, F.col(c)).otherwise(F.length(new).cast(out.schema[c].dataType)) if c == length else new if c == text else F.col(c)).alias(c) for c in docs.columns])
+    packed = out.select(F.struct(*[new.alias(c) if c == text else F.col(c) for c in docs.columns]).alias("new"), (F.size("secrets") > 0).alias("changed"))
+    changed = packed.select(*[F.when(F.col("changed"), F.length(F.col("new")[text]).cast(docs.schema[c].dataType)).otherwise(F.col("new")[c]).alias(c) if c == length else F.col("new")[c].alias(c) for c in docs.columns])
     return reduce(DataFrame.unionByName, [clean, changed])

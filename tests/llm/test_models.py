@@ -1,0 +1,89 @@
+from pyspark.sql import functions as F
+
+from cindersift.llm import decontaminate, language, licenses, toxicity
+from cindersift.llm.common import table
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_template_matches_survive_new_numbers_and_names(spark):
+    item = "On that day the farmer told Alice that 12 kg of apples cost 30 dollars, so how many apples can Alice buy for 90 dollars in total?"
+    same = "intro words here. On that day the farmer told Robert that 7 kg of apples cost 21 dollars, so how many apples can Robert buy for 63 dollars in total? more words."
+    mixed = "On that day the farmer told Bob that 7 kg of apples cost 21 dollars, so how many apples can Carol buy for 63 dollars in total?"
+    plain = "The farmer went home and nobody asked how many apples there were in the end of that long day."
+    docs = spark.createDataFrame([(1, same), (2, item), (3, plain), (4, None), (5, ""), (None, item), (6, mixed)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, None), (None, item), (9, "")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.matches(docs, bench, consistent=0.9).collect()}
+    assert set(got) == {1, 2} and got[1].item_id == 7 and got[1].consistency == 1.0
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench, consistent=0.9).collect()} == {3, 4, 5, 6, None}
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_planted_benchmark_items_are_found(spark):
+    docs, bench = table(spark, FOLDER, "documents"), table(spark, FOLDER, "benchmark")
+    items = {r.item_id: r.text for r in bench.collect()}
+    want = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if r.text and t in r.text}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()}
+    assert want <= got and len(got) <= 1.5 * len(want) + 3
+
+
+def test_a_large_benchmark_is_joined_without_being_sent(spark, monkeypatch):
+    docs, bench = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "benchmark")
+    one = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_SENT", 0)
+    assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == one
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    docs = table(spark, FOLDER, "documents")
+    odd = spark.createDataFrame([(90001, None), (90002, ""), (90003, "123 !!"), (90004, "жук"), (None, "the and of with")], "doc_id long, text string")
+    got = language.digest(docs.unionByName(odd, allowMissingColumns=True)).join(docs.select("doc_id", "lang"), "doc_id", "left").toPandas()
+    held = got[got.held_out & got.lang.notna()]
+    assert (held.lang == held.lang_pred).mean() > 0.97
+    by = got.set_index("doc_id").lang_pred
+    assert list(by[[90001, 90002, 90003]]) == ["und"] * 3 and by[90004] in set(held.lang) and got.score.between(0, 1).all()
+    assert set(language.digest(docs.withColumn("lang", F.lit(None).cast("string")).limit(20)).toPandas().lang_pred) == {"und"}
+
+
+def test_backoff_scores_unseen_words_by_their_parts():
+    m = language.Model([("a", "zug", 0, 5), ("a", "<zug", 4, 5), ("a", "zu", 2, 5), ("a", "z", 1, 5), ("b", "q", 1, 9), ("b", "qu", 2, 9)])
+    assert m.word("zug")[0] > m.word("zug")[1] and m.word("zuzu")[0] > m.word("zuzu")[1] and m.word("quq")[1] > m.word("quq")[0]
+    assert not m.word("7").any()
+
+
+def test_toxicity_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    some = docs.join(labels, "doc_id", "left_semi")
+    got = toxicity.digest(some, labels).join(labels, "doc_id").where("held_out").toPandas()
+    toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
+    assert toxic.predicted.mean() > 0.75 and clean.predicted.mean() < 0.01 and got.score.between(0, 1).all()
+
+
+def test_interaction_is_learned():
+    import numpy as np
+
+    x = [np.array(s) for s in ([1, 2, 9], [1, 9], [2, 9], [9]) for _ in range(60)]
+    y = np.array([1.0] * 60 + [0.0] * 180)
+    m = toxicity.Machine().fit(x, y, epochs=40)
+    assert m.score(np.array([1, 2, 9])) > 0.5 > max(m.score(np.array([1, 9])), m.score(np.array([2, 9])))
+
+
+def test_toxicity_without_labels(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    odd = docs.unionByName(spark.createDataFrame([(None, None), (7, "")], "doc_id long, text string"), allowMissingColumns=True)
+    got = toxicity.digest(odd, labels.limit(0)).toPandas()
+    assert len(got) == docs.count() + 2 and (got.predicted == 0).all()
+
+
+def test_licence_families(spark):
+    docs = table(spark, FOLDER, "documents")
+    odd = spark.createDataFrame([(90001, None), (90002, ""), (90003, "Plain words.\nUsed under some licence nobody knows, licensed under terms"), (90001, None)], "doc_id long, text string")
+    got = licenses.scan(docs.unionByName(odd, allowMissingColumns=True)).toPandas()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == len(texts) + 4
+    for cue, family in (("Apache License", "apache"), ("MIT License", "mit"), ("GNU General Public", "gpl"), ("CC BY-NC", "cc-by-nc")):
+        hit = got[got.doc_id.map(lambda d, c=cue: c in (texts.get(d) or ""))]
+        assert len(hit) and (hit.family == family).all() and hit.confirmed.all()
+    quiet = got[~got.doc_id.map(lambda d: any(w in (texts.get(d) or "").lower() for w in ("licen", "copyright", "rights")))]
+    assert (quiet[quiet.doc_id != 90003].family == "none").mean() > 0.995
