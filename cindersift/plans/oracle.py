@@ -160,8 +160,8 @@ _ems = f"(({Z}) + 3.25)"
 ORACLE["altman_bre"] = pair(f"{r6(_ems)} AS ems, CASE WHEN {_ems} IS NULL THEN NULL " + " ".join(f"WHEN {_ems} >= {x} THEN {q(g)}" for x, g, _ in RATINGS) + f" ELSE 'D' END AS grade, CASE WHEN {_ems} IS NULL THEN NULL " + " ".join(f"WHEN {_ems} >= {x} THEN {q(w)}" for x, _, w in RATINGS) + f" ELSE 'default' END AS risk, {health(f'({Z})')} AS health")
 ORACLE["beneish"] = pair(f"{r6(M)} AS value, " + ", ".join(f"{r6(v)} AS {k}" for k, v in BENEISH.items()) + f", {M} > -1.78 AS flagged, {gaps(*BENEISH.items())} AS missing")
 ORACLE["dechow"] = pair(f"{r6(DECHOW)} AS value, {r6(LOGIT)} AS logit, CASE WHEN {DECHOW} > 2.45 THEN 'misstatement-risk-high' WHEN {DECHOW} > 1.85 THEN 'misstatement-risk-substantial' WHEN {DECHOW} > 1.0 THEN 'misstatement-risk-above-normal' END AS level")
-ORACLE["montier"] = pair(f"CAST({MONTIER} AS BIGINT) AS value")
-ORACLE["piotroski"] = pair(f"CAST({PIOTROSKI} AS BIGINT) AS value, CASE WHEN ({PIOTROSKI}) >= 7 THEN 'value-universe-signal;strong' WHEN ({PIOTROSKI}) <= 2 THEN 'value-universe-signal;weak' WHEN ({PIOTROSKI}) IS NOT NULL THEN 'value-universe-signal' END AS flags, round(({PIOTROSKI}) / 9.0::DOUBLE, 4) AS sub_score")
+ORACLE["montier"] = pair(f"CAST({MONTIER} AS DOUBLE) AS value")
+ORACLE["piotroski"] = pair(f"CAST({PIOTROSKI} AS DOUBLE) AS value, CASE WHEN ({PIOTROSKI}) >= 7 THEN 'value-universe-signal;strong' WHEN ({PIOTROSKI}) <= 2 THEN 'value-universe-signal;weak' WHEN ({PIOTROSKI}) IS NOT NULL THEN 'value-universe-signal' END AS flags, round(({PIOTROSKI}) / 9.0::DOUBLE, 4) AS sub_score")
 _gap, _wc = "t.net_income - t.operating_cash_flow", lambda p: f"(({p}.current_assets - {p}.cash) - {p}.current_liabilities)"
 ORACLE["accruals"] = pair(f"{r6(d(_gap, 't.total_assets'))} AS value, {r6(d(_gap, AVG))} AS sloan_cash_flow, {r6(d(f'{_wc("t")} - {_wc("t1")} - t.depreciation', AVG))} AS sloan_balance, {d(_gap, 't.total_assets')} > 0.10 AS high")
 _run = "t.cash / -t.operating_cash_flow"
@@ -296,7 +296,6 @@ ORACLE["insider_profile"] = f"WITH {PEOPLE}\nSELECT * EXCLUDE (b) FROM ins"
 ORACLE["ownership_conversions"] = f"""WITH {FILINGS}, o AS (SELECT cik, accession::BIGINT % 5 AS filer, form, filing_date, pos, contains(form, '13G') AS g, contains(form, '13D') AS dd, (pos % 12)::DOUBLE AS pct FROM filings WHERE contains(form, '13G') OR contains(form, '13D')),
 t AS (SELECT *, dd AND NOT g AND coalesce(max(g::INT) OVER (PARTITION BY cik, filer ORDER BY filing_date, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS turned FROM o)
 SELECT cik, count(*) FILTER (dd) AS n_13d, count(*) FILTER (g) AS n_13g, count(*) FILTER (pct > 5) AS n_over_5, count(DISTINCT filer) FILTER (turned) AS n_converted FROM t GROUP BY 1"""
-ORACLE["form4_topk"] = f"WITH {FILINGS}, k AS (SELECT cik, accession, row_number() OVER (PARTITION BY cik ORDER BY pos) AS nth FROM filings WHERE form = '8-K' AND {_age} <= 365)\nSELECT cik, accession, nth, max(nth) OVER (PARTITION BY cik) = 12 AS cap_hit FROM k WHERE nth <= 12"
 ORACLE["form4_topk"] = f"WITH {FILINGS}, k AS (SELECT cik, accession, row_number() OVER (PARTITION BY cik ORDER BY pos) AS nth FROM filings WHERE form = '8-K' AND {_age} <= 365), c AS (SELECT * FROM k WHERE nth <= 12)\nSELECT cik, accession, nth, max(nth) OVER (PARTITION BY cik) = 12 AS cap_hit FROM c"
 ORACLE["form144_notices"] = f"WITH {FILINGS}\nSELECT cik, count(*) AS n_144, max(filing_date) AS latest FROM filings WHERE form IN ('144', '144/A') GROUP BY 1"
 ORACLE["accumulation"] = f"WITH {TXN}\nSELECT cik, count(*) FILTER (code = 'P' AND value > 0) AS accumulating FROM txn GROUP BY 1"
@@ -374,8 +373,8 @@ def score(columns: str, profile: str = "hold", preset: str = "penny", more: str
 
 
 _rank = "row_number() OVER (PARTITION BY gated ORDER BY composite DESC, ticker)"
-_srank = "CASE WHEN NOT gated THEN row_number() OVER (PARTITION BY gated, sic_sector ORDER BY composite DESC, ticker) END AS sector_rank"
-_ssize = "CASE WHEN NOT gated THEN count(*) OVER (PARTITION BY gated, sic_sector) END AS sector_size"
+_srank = "CASE WHEN NOT gated THEN row_number() OVER (PARTITION BY gated, sic_sector ORDER BY composite DESC, ticker)::DOUBLE END AS sector_rank"
+_ssize = "CASE WHEN NOT gated THEN count(*) OVER (PARTITION BY gated, sic_sector)::DOUBLE END AS sector_size"
 _flags = "array_to_string(flag_list, ';') AS penalty_flags"
 _nsup = "CASE WHEN suppressed = '' THEN 0 ELSE len(string_split(suppressed, ';')) END"
 _crit = f"list_has_any(flag_list, {lst(CRITICAL)})"

@@ -57,8 +57,8 @@ _model("altman", lambda T, T1, T2: [*_named(models.altman(T), "value", "x1", "x2
 _model("altman_bre", lambda T, T1, T2: [(b := models.rating(models.altman(T)["value"])) and r6(b["ems"]).alias("ems"), b["grade"].alias("grade"), b["risk"].alias("risk"), models.health(models.altman(T)["value"]).alias("health")])
 _model("beneish", lambda T, T1, T2: [*_named(models.beneish(T, T1), "value", "dsri", "gmi", "aqi", "sgi", "depi", "sgai", "lvgi", "tata"), models.beneish(T, T1)["flagged"].alias("flagged"), joined(models.beneish(T, T1)["missing"]).alias("missing")])
 _model("dechow", lambda T, T1, T2: [r6((d := models.dechow(T, T1, T2, F.col("cik") % 2 == 0))["value"]).alias("value"), r6(d["logit"]).alias("logit"), d["level"].alias("level")])
-_model("montier", lambda T, T1, T2: [models.montier(T, T1).cast("long").alias("value")])
-_model("piotroski", lambda T, T1, T2: [(d := models.piotroski(T, T1)) and d["value"].cast("long").alias("value"), joined(d["flags"]).alias("flags"), models.strength_score(d["value"].cast("double")).alias("sub_score")])
+_model("montier", lambda T, T1, T2: [models.montier(T, T1).cast("double").alias("value")])
+_model("piotroski", lambda T, T1, T2: [(d := models.piotroski(T, T1)) and d["value"].cast("double").alias("value"), joined(d["flags"]).alias("flags"), models.strength_score(d["value"].cast("double")).alias("sub_score")])
 _model("accruals", lambda T, T1, T2: [*_named(models.accruals(T, T1), "value", "sloan_cash_flow", "sloan_balance"), models.accruals(T, T1)["high"].alias("high")])
 _model("cash_runway", lambda T, T1, T2: [(d := models.runway(T, T1, F.col("cik") % 9 == 0)) and r6(F.when(d["value"] < 1e300, d["value"])).alias("value"), joined(d["flags"]).alias("flags")])
 _model("ev_valuation", lambda T, T1, T2: [*_named(models.ev_valuation(T, T["market_cap"], F.col("sic")), "value", "ev", "ev_ebitda", "fcf_yield"), joined(models.ev_valuation(T, T["market_cap"], F.col("sic"))["flags"]).alias("flags"), models.value_score(models.ev_valuation(T, T["market_cap"], F.col("sic"))["value"]).alias("sub_score")], sic=True)
@@ -322,7 +322,7 @@ def _scored(spark: SparkSession, sf: str, profile: str = "hold", preset: str = "
 @query
 def flagship_scan(spark: SparkSession, sf: str) -> DataFrame:
     ranked, _ = scan.run(scan.signals(spark, sf))
-    return ranked.select("ticker", "sic_sector", "gated", "rank", F.col("sector_rank").cast("long").alias("sector_rank"), F.col("sector_size").cast("long").alias("sector_size"), r6("composite").alias("composite"), joined("penalty_flags").alias("penalty_flags"), joined("suppressed").alias("suppressed"))
+    return ranked.select("ticker", "sic_sector", "gated", "rank", F.col("sector_rank").cast("double").alias("sector_rank"), F.col("sector_size").cast("double").alias("sector_size"), r6("composite").alias("composite"), joined("penalty_flags").alias("penalty_flags"), joined("suppressed").alias("suppressed"))
 
 
 @query
@@ -390,7 +390,7 @@ def rank_global(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rank_sector(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.rank(_scored(spark, sf, "high-return")).select("ticker", "sic_sector", F.col("sector_rank").cast("long").alias("sector_rank"), F.col("sector_size").cast("long").alias("sector_size"))
+    return scoring.rank(_scored(spark, sf, "high-return")).select("ticker", "sic_sector", F.col("sector_rank").cast("double").alias("sector_rank"), F.col("sector_size").cast("double").alias("sector_size"))
 
 
 def _top(name: str, by: str, n: int | None) -> None:
@@ -422,7 +422,7 @@ def sector_size_pct(spark: SparkSession, sf: str) -> DataFrame:
 def export_records(spark: SparkSession, sf: str) -> DataFrame:
     rec = sinks.records(scoring.rank(_scored(spark, sf, "hold", "broad")))
     total = lambda m: F.round(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, b: a + b), 3)
-    return rec.select("ticker", "composite", "gated", F.col("sector_rank").cast("long").alias("sector_rank"), joined("penalty_flags").alias("penalty_flags"), joined("na_modules").alias("na_modules"), F.col("suppressed_count").cast("long").alias("suppressed_count"), "evidence_complete", F.size("penalty_contributions").cast("long").alias("n_penalties"), total("positive_contributions").alias("positive"))
+    return rec.select("ticker", "composite", "gated", F.col("sector_rank").cast("double").alias("sector_rank"), joined("penalty_flags").alias("penalty_flags"), joined("na_modules").alias("na_modules"), F.col("suppressed_count").cast("long").alias("suppressed_count"), "evidence_complete", F.size("penalty_contributions").cast("long").alias("n_penalties"), total("positive_contributions").alias("positive"))
 
 
 @query

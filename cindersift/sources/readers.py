@@ -65,7 +65,7 @@ def one_unit(facts: DataFrame, wanted: Column | None = None) -> DataFrame:
 def filings(payload: DataFrame) -> DataFrame:
     """Submission payloads ``value`` to filings in order; short parallel arrays give empty strings."""
     p = payload.select(F.from_json("value", SUBMISSIONS).alias("p")).select(F.lpad(F.col("p.cik"), 10, "0").alias("cik"), *sic("p.sic", "p.sicDescription"), F.col("p.filings.recent").alias("r"))
-    rows = p.select("cik", "sic", "sic_sector", F.posexplode(F.arrays_zip("r.form", "r.filingDate", "r.accessionNumber", "r.items", "r.primaryDocument")).alias("pos", "f"))
+    rows = p.select("cik", "sic", "sic_sector", F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"r.{n}"), F.array().cast("array<string>")).alias(n) for n in ("form", "filingDate", "accessionNumber", "items", "primaryDocument")])).alias("pos", "f"))
     text = lambda name: F.coalesce(F.col(f"f.{name}"), F.lit(""))
     return rows.select("cik", "pos", text("form").alias("form"), text("filingDate").alias("filing_date"), text("accessionNumber").alias("accession"), text("items").alias("items"), text("primaryDocument").alias("primary_document"), "sic", "sic_sector")
 
