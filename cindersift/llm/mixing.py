@@ -56,8 +56,8 @@ def targets(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
     """Tempered target shares of one dimension: its shares to the power ``alpha``, scaled to sum 1."""
     share = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
     powered = share.withColumn("p", F.pow("t", F.lit(alpha)))
-    total = powered.agg(F.sum("p").alias("all"))
-    return powered.join(F.broadcast(total)).select(dim, (F.col("p") / F.col("all")).alias(f"target_{dim}"))
+    total = powered.agg(F.sum("p")).first()[0]
+    return powered.select(dim, (F.col("p") / F.lit(total)).alias(f"target_{dim}"))
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -82,8 +82,8 @@ def rates(cells: DataFrame, alphas: dict[str, float] | None = None, rounds: int
     for dim in DIMENSIONS:
         aimed = targets(full, dim, alphas[dim])
         full = full.join(F.broadcast(aimed) if few else aimed, dim)
-    shares = full.join(F.broadcast(full.agg(F.sum("tokens").cast("double").alias("all"))))
-    shares = shares.withColumn("share", F.col("tokens") / F.col("all")).withColumn("weight", F.col("share")).drop("all")
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0]
+    shares = full.withColumn("share", F.col("tokens") / F.lit(total)).withColumn("weight", F.col("share"))
     return settle(rake(shares, rounds).select(*DIMENSIONS, F.round(F.lit(budget) * F.col("weight") / F.col("share"), 6).alias("rate"))), few
 
 
