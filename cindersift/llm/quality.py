@@ -109,4 +109,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
-    return assess(docs, labels, **options).where("kept").select("doc.*")
+    # The partition number keeps the optimizer from writing the verdict out again below each step of its projections.
+    return assess(docs, labels, **options).withColumn("part", F.spark_partition_id()).where("kept AND part >= 0").select("doc.*")
