@@ -25,6 +25,8 @@ COVERAGE = 0.8
 CONSISTENT = 0.8
 #: A benchmark of at most so many windows is sent to all tasks to skip other windows early; a larger one is joined as it is.
 MAX_SENT = 2_000_000
+#: Place of the whole document, besides those of single occurrences.
+ANYWHERE = -(1 << 40)
 
 #: Units that stand after a number.
 UNITS = frozenset("mm cm m km g kg mg t l ml s sec min h hr hrs hours hour minutes minute seconds days day weeks week months years year inches inch feet foot miles mile pounds pound euro euros dollars dollar cents usd eur percent % $ € £ kwh w kw v a hz mb gb tb".split())
@@ -104,7 +106,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
 
     A pair is reported if at least ``coverage`` of the item's distinct windows are in the document and at
     least ``consistent`` of the matched slot fillers go with the most frequent filler of the document for
-    them (1 if there are no slots). An item shorter than a window is one window. Null or empty texts
+    them (1 if there are no slots), over the whole document or over one occurrence of the item in it. An item shorter than a window is one window. Null or empty texts
     match nothing, nor do items without an id. Documents without an id are left out. Rows that repeat an
     id count as one document or item with all their texts. Integer ids only.
     """
@@ -117,14 +119,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
         found = np.array([r["key"] for r in keys.toLocalIterator()], np.int64).view(np.uint64)
         sent = docs.sparkSession.sparkContext.broadcast(np.sort(found))
     hits = texts.mapInPandas(_windows(sent, window), WINDOWS)
-    sizes = asked.groupBy(F.col("row").alias("item_id")).agg(F.count_distinct("key").alias("n_windows"))
-    pairs = settle(hits.join(asked.select(F.col("row").alias("item_id"), "key", F.col("slots").alias("asked")), "key").select(F.col("row").alias("doc_id"), "item_id", "key", "asked", "slots"))
+    sizes = asked.groupBy(F.col("row").alias("item_id")).agg(F.count_distinct("key").alias("n_windows"), F.floor((F.max("pos") + window) / 2).alias("half"))
+    pairs = settle(hits.join(asked.select(F.col("row").alias("item_id"), "key", F.col("pos").alias("at"), F.col("slots").alias("asked")), "key").select(F.col("row").alias("doc_id"), "item_id", "key", (F.col("pos") - F.col("at")).alias("shift"), "asked", "slots"))
     covered = pairs.groupBy("doc_id", "item_id").agg(F.count_distinct("key").alias("n_matched")).join(sizes, "item_id").where(F.col("n_matched") >= coverage * F.col("n_windows"))
-    fillers = pairs.where(F.size("slots") > 0).join(covered.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", F.explode(F.arrays_zip("asked", "slots")).alias("z"))
-    votes = fillers.groupBy("doc_id", "item_id", F.col("z.asked").alias("asked"), F.col("z.slots").alias("filler")).count()
-    agreed = votes.groupBy("doc_id", "item_id", "asked").agg(F.max("count").alias("most"), F.sum("count").alias("all")).groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("all")).alias("agreed"))
-    judged = covered.join(agreed, ["doc_id", "item_id"], "left").withColumn("consistency", F.round(F.coalesce("agreed", F.lit(1.0)), 6)).where(F.col("consistency") >= consistent)
-    return judged.select("doc_id", "item_id", "n_matched", "n_windows", F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"), "consistency")
+    near = pairs.join(covered.select("doc_id", "item_id", "half"), ["doc_id", "item_id"])
+    # Occurrences of an item are at least its length apart, so none of these overlapping ranges of shifts has two.
+    nth = F.floor(F.col("shift") / F.col("half"))
+    placed = settle(near.withColumn("place", F.explode(F.array(F.lit(None).cast("long"), nth, nth - 1))))
+    by = ["doc_id", "item_id", "place"]
+    held = placed.groupBy(*by).agg(F.count_distinct("key").alias("n_matched")).join(sizes.drop("half"), "item_id").where(F.col("n_matched") >= coverage * F.col("n_windows")).withColumn("at", F.coalesce("place", F.lit(ANYWHERE)))
+    fillers = placed.where(F.size("slots") > 0).select(*by, F.explode(F.arrays_zip("asked", "slots")).alias("z")).withColumn("at", F.coalesce("place", F.lit(ANYWHERE)))
+    votes = fillers.groupBy("doc_id", "item_id", "at", F.col("z.asked").alias("asked"), F.col("z.slots").alias("filler")).count()
+    agreed = votes.groupBy("doc_id", "item_id", "at", "asked").agg(F.max("count").alias("most"), F.sum("count").alias("all")).groupBy("doc_id", "item_id", "at").agg((F.sum("most") / F.sum("all")).alias("agreed"))
+    judged = held.join(agreed, ["doc_id", "item_id", "at"], "left").withColumn("consistency", F.round(F.coalesce("agreed", F.lit(1.0)), 6)).where(F.col("consistency") >= consistent)
+    best = judged.groupBy("doc_id", "item_id", "n_windows").agg(F.max(F.struct((F.col("at") == ANYWHERE).alias("whole"), "n_matched", "consistency")).alias("m")).select("doc_id", "item_id", "m.n_matched", "n_windows", "m.consistency")
+    return best.select("doc_id", "item_id", "n_matched", "n_windows", F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"), "consistency")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -67,3 +67,16 @@ def test_without_labels_all_ratios_are_zero(spark, sf):
     docs = table(spark, sf, "documents")
     got = quality.digest(docs, table(spark, sf, "labels").limit(0))
     assert got.where("ratio <> 0").count() == 0 and got.count() == docs.count()
+
+
+def test_decontamination_judges_each_occurrence(spark):
+    from cindersift.llm import decontaminate
+
+    ask = "if {} has {} apples and gives {} of them to {} then how many of the apples does {} keep".format
+    item, other = ask("Ann", 12, 5, "Bob", "Ann"), ask("Carl", 30, 7, "Dora", "Carl")
+    mess = ask("Eve", 3, 4, "Fay", "Gus")
+    filler = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(0, f"{item} . {other}"), (1, f"{item} {filler} {other} {filler} {ask('Hal', 8, 2, 'Ida', 'Hal')}"), (2, mess), (3, filler)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.matches(docs, bench).collect()}
+    assert {0, 1} <= got and 3 not in got
