@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separator of words throughout the operators.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+#: A table of numbers is broadcast up to so many rows, some 100 MB in memory.
+MOST_SENT = 2_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,16 +21,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
-    The folder is ``spark.checkpoint.dir``, as the cluster names it. Only where that is unset (tests,
-    local mode) a folder of this machine is set, which driver and executors then share.
+    The folder is ``shared_folder``. What is written stays there for the session, so that a lost executor can
+    read it again; ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes what is no longer referred to.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"/tmp/checkpoints/{context.applicationId}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``.
+
+    Only in local mode, where driver and executors are one process, may it be unset; a cluster without it is
+    an error, as a folder of one machine would lose data there.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+
+
+def with_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` whose ``name`` is in the written table ``ids``, which is sent to all tasks if it is small."""
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return df.join(F.broadcast(ids) if few else ids, name, "left_semi")
+
+
 def words(text):
     """Words of a text column: maximal runs of characters that are no ASCII white space; none for null."""
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))

@@ -12,12 +12,13 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for each node of ``edges(a, b)``; the label is the smallest node of the component.
 
     Each round hooks a node's smaller neighbours, and the node, to the smallest of them, until every node
-    has one smaller neighbour; pointer jumping then shortens the chains. Edges are grouped by their larger
-    end, so a hub that many nodes point to is never a group. Loops and repeated edges have no effect.
+    has one smaller neighbour; pointer jumping then shortens the chains. Edges are grouped by their larger end.
+    The group of a hub is reduced in the tasks that read it; what joins with it are written tables, whose large
+    partitions adaptive execution splits. Loops and repeated edges have no effect.
     """
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        low = e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"))
+        low = settle(e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")))
         if low.where("m < top").isEmpty():
             break
         both = e.join(low.drop("top"), "u")
