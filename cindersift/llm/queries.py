@@ -52,4 +52,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_repeated_passages, op3_mixing, op4_license_scan, op5_quality_rules, op6_order_minhash, op7_decontamination, op8_toxicity, op9_chat_format, op10_language_id)}
-ORACLE_SQL = {"op3_mixing": mixing.oracle(), "op9_chat_format": chat.ORACLE}
+ORACLE_SQL = {"op1_secret_scan": secrets.oracle(), "op3_mixing": mixing.oracle(), "op9_chat_format": chat.ORACLE}

@@ -51,3 +51,17 @@ def test_redaction_merges_overlaps_and_keeps_length(spark):
     docs = spark.createDataFrame([(1, text, "s", 5), (1, text, "s", 5)], "doc_id long, text string, source string, n_chars long")
     rows = secrets.redact(docs).collect()
     assert [r.text for r in rows] == ["a [SECRET] b [SECRET] c"] * 2 and rows[0].n_chars == len(rows[0].text)
+
+
+def test_value_in_many_repositories_of_one_owner_is_copied(spark):
+    docs = spark.createDataFrame([(i, "token = SharedByOne123", None if i == 5 else "o") for i in range(secrets.MAX_REPOS + 1)], "doc_id long, text string, source string")
+    assert {(r.n_live, r.n_copied, r.spread) for r in secrets.digest(docs).collect()} == {(0, 1, f"{secrets.MAX_REPOS + 1}:1")}
+    assert {(r.n_live, r.n_copied) for r in secrets.digest(docs.limit(3)).collect()} == {(1, 0)}
+
+
+def test_long_runs_take_linear_time_and_empty_tables_give_nothing(spark):
+    docs = spark.createDataFrame([(1, "a" * 5_000_000 + " b", "s"), (2, "q" * 3_000_000 + "7", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.digest(docs).collect()}
+    assert got[1].spans == "hex:0:5000000"
+    assert got[2].spans == "opaque:0:3000001"
+    assert secrets.digest(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
