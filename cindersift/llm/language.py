@@ -12,17 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The classifier is fitted on at most about so many labelled documents, drawn by hash of their id.
-MAX_FIT = 60_000
-#: Most frequent words and n-grams kept of each language, and the least count of a word.
-MAX_WORDS, MAX_GRAMS = 40_000, 40_000
+#: The classifier is fitted on about so many labelled documents (exactly: each with this expectation over the
+#: number of them), drawn by hash of their id. Their words, and so the model, are what this bounds.
+MAX_FIT = 20_000
+#: Least count of a word in a language.
 LEAST_COUNT = 2
 LONGEST = 5
 UND = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numeric characters that are no decimal digits and no letters, such as fractions, which ``\\w`` includes.
+NO_LETTERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NO_LETTERS}]+")
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,13 +38,6 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(lang, w, n) for lang, c in counts.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
 
-def _top(counts: DataFrame, by: list[str], most: int) -> DataFrame:
-    """The ``most`` largest counts in each group, by two rankings, the first within shares of a group."""
-    share = Window.partitionBy(*by, F.pmod(F.xxhash64("term"), F.lit(64))).orderBy(F.desc("n"), "term")
-    ranked = counts.withColumn("r", F.row_number().over(share)).where(F.col("r") <= most)
-    return ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "term"))).where(F.col("r") <= most).drop("r")
-
-
 class Model:
     """Log frequencies by language of words and of n-grams, as one matrix with a row for each term."""
 
@@ -77,20 +72,20 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MAX_FIT) -> Model:
     """Fit on the rows of ``docs`` with a language and a text.
 
-    Word counts come from the documents, n-gram counts from the word counts. The model has at most
-    ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams of each length a language, which bounds what the driver gathers.
+    Word counts come from about ``most`` documents, n-gram counts from the word counts. That sample bounds what
+    the driver gathers, whatever the number of documents and languages.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     n = labelled.count()
     if n > most:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most / n))
+        labelled = labelled.where(F.xxhash64("doc_id") < -(1 << 63) + (most << 64) // n)
     counts = labelled.select("lang", "text").mapInPandas(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).cache()
-    known = _top(counts.select("lang", F.col("word").alias("term"), F.lit(0).alias("size"), "n"), ["lang"], MAX_WORDS)
+    known = counts.select("lang", F.col("word").alias("term"), F.lit(0).alias("size"), "n")
     marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
     size = F.explode(F.array(*[F.lit(k) for k in range(1, LONGEST + 1)])).alias("size")
     grams = counts.select("lang", "n", marked.alias("marked"), size).where(F.length("marked") >= F.col("size"))
     grams = grams.select("lang", "size", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("marked") - F.col("size") + 1), lambda i: F.col("marked").substr(i, F.col("size")))).alias("term"))
-    grams = _top(grams.groupBy("lang", "size", "term").agg(F.sum("n").alias("n")), ["lang", "size"], MAX_GRAMS)
+    grams = grams.groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
     rows = [tuple(r) for part in (known, grams) for r in part.select("lang", "term", "size", "n").orderBy("lang", "size", "term").toLocalIterator()]
     counts.unpersist()
     return Model(rows)
