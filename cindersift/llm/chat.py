@@ -17,8 +17,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 LONG = "bigint"
 #: Strings that steer a chat template: those of this template and those in common use elsewhere. A text may
 #: hold them with any number of backslashes after the opening character; escaping adds one, unescaping takes one.
-CONTROL = r"([<\[])(\\*)((?:\|[A-Za-z_]+\|>)|(?:/?s>)|(?:/?INST\])|(?:/?SYS>>))"
-ESCAPED = r"([<\[])\\(\\*)((?:\|[A-Za-z_]+\|>)|(?:/?s>)|(?:/?INST\])|(?:/?SYS>>))"
+CONTROL = r"([<\[])(\\*)((?:\|[A-Za-z0-9_-]+\|>)|(?:(?:start|end)_of_turn>)|(?:/?s>)|(?:/?INST\])|(?:/?SYS>>))"
+ESCAPED = r"([<\[])\\(\\*)((?:\|[A-Za-z0-9_-]+\|>)|(?:(?:start|end)_of_turn>)|(?:/?s>)|(?:/?INST\])|(?:/?SYS>>))"
 
 
 def escape(text: Column) -> Column:
@@ -38,6 +38,11 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%3C"), F.lit("<")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def conversation_key() -> Column:
+    """Conversations by text, with null apart from the empty string."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+
+
 def linear(turns: DataFrame) -> DataFrame:
     """A table of turns ``(conv_id, turn, role, text)`` as messages that each reply to the turn before.
 
@@ -56,7 +61,7 @@ def branches(messages: DataFrame) -> DataFrame:
     a cycle, or below one, have no root and are on no path. A message id should be unique in its
     conversation; of repeated rows with one id the first parent counts. Rows with a null message id are left out.
     """
-    nodes = messages.where("msg_id IS NOT NULL").groupBy(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "msg_id").agg(F.min("parent_id").alias("parent_id"))
+    nodes = messages.where("msg_id IS NOT NULL").groupBy(conversation_key().alias("conv"), "msg_id").agg(F.min("parent_id").alias("parent_id"))
     known = nodes.select("conv", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
     nodes = settle(nodes.join(known, ["conv", "parent_id"], "left").select("conv", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("jump")))
     leaves = nodes.join(nodes.select("conv", F.col("jump").alias("msg_id")).where("msg_id IS NOT NULL").distinct(), ["conv", "msg_id"], "left_anti")
@@ -82,7 +87,7 @@ def conversations(messages: DataFrame, best: int | None = None) -> DataFrame:
     empty. The result has the columns named here whatever else ``messages`` has.
     """
     m = messages.select("conv_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    keyed = m.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).drop("parent_id").dropDuplicates(["conv", "msg_id"])
+    keyed = m.withColumn("conv", conversation_key()).drop("parent_id").dropDuplicates(["conv", "msg_id"])
     held = branches(m).join(keyed, ["conv", "msg_id"])
     grouped = held.groupBy("conv", "leaf").agg(F.first("conv_id").alias("conv_id"), F.avg("score").alias("score"), F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("score"), "leaf"))
@@ -128,7 +133,7 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), e AS (
-  SELECT *, regexp_replace(text, '([<\[])(\\*)((?:\|[A-Za-z_]+\|>)|(?:/?s>)|(?:/?INST\])|(?:/?SYS>>))', '\1\\\2\3', 'g') AS escaped,
+  SELECT *, regexp_replace(text, '([<\[])(\\*)((?:\|[A-Za-z0-9_-]+\|>)|(?:(?:start|end)_of_turn>)|(?:/?s>)|(?:/?INST\])|(?:/?SYS>>))', '\1\\\2\3', 'g') AS escaped,
     replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C') AS named
   FROM t
 )

@@ -108,8 +108,20 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are drawn at least once, with their columns, ``rate`` and ``copies``."""
-    return calibrate(docs, **options).where("copies > 0").select("doc.*", F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
+    """The rows of ``docs`` that are drawn at least once, with their columns, ``mix_rate`` and ``mix_copies``, which
+    take the place of columns of ``docs`` with these names."""
+    own = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("mix_rate", "mix_copies")]
+    return calibrate(docs, **options).where("copies > 0").select(*own, F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
+
+
+def residual(cells: DataFrame, rate: DataFrame, alphas: dict[str, float] | None = None) -> float:
+    """The largest distance of a marginal's fitted share from its target, for ``cells(source, lang, topic, tokens)``
+    and the ``rates`` of them: what raking has left after its rounds."""
+    alphas = ALPHAS if alphas is None else alphas
+    fitted = cells.where("tokens > 0").join(rate, list(DIMENSIONS)).withColumn("w", F.col("tokens") * F.col("rate"))
+    total = fitted.agg(F.sum("w")).first()[0] or 1.0
+    off = [fitted.groupBy(d).agg((F.sum("w") / total).alias("got")).join(targets(cells, d, alphas[d]), d).agg(F.max(F.abs(F.col("got") - F.col(f"target_{d}")))).first()[0] for d in DIMENSIONS]
+    return max(x or 0.0 for x in off)
 
 
 def oracle(alphas: dict[str, float] = ALPHAS, rounds: int = ROUNDS, budget: float = BUDGET) -> str:
