@@ -103,7 +103,7 @@ def _windows(sent, window: int):
                 literal, moved = runs(h, window), runs(other, window)
                 for keys, kinds, places in ((literal, k, np.arange(len(literal))), (moved, named, np.flatnonzero(literal != moved))):
                     if wanted is not None and len(places):
-                        bit = keys[places] & np.uint64(MAP_BITS - 1)
+                        bit = keys[places] & np.uint64(64 * len(wanted) - 1)
                         places = places[(wanted[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
                     for p in places.tolist():
                         slots = [f"{kinds[i]}{(EDGES.sub('', found[i]) or found[i]).lower()}" for i in range(p, min(p + window, len(k))) if kinds[i]]

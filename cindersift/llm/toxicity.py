@@ -24,6 +24,8 @@ BITS, FACTORS = 17, 4
 EPOCHS, RATE, DECAY = 15, 0.3, 1e-3
 #: A bucket is used if so many training texts have it and its chi-square against the label is at least so large.
 LEAST_TEXTS, LEAST_CHI2 = 5, 12.0
+#: The same of a pair of buckets, of which there are many more; texts and buckets of pairs that are counted at once.
+LEAST_PAIR_CHI2, BLOCK = 100.0, 512
 TERM = re.compile(r"\w+")
 
 
@@ -42,15 +44,43 @@ class Buckets(dict):
         return np.unique(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
 
 
+def _chi2(a: np.ndarray, c: np.ndarray, p: int, n: int) -> np.ndarray:
+    """Chi-square of a term in ``c`` of ``n`` texts and ``a`` of the ``p`` toxic ones."""
+    spread = c * (n - c) * p * (n - p)
+    return np.divide(n * (a * n - c * p) ** 2, spread, out=np.zeros_like(a), where=spread > 0)
+
+
 def _telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Buckets whose presence in a training text depends on its label."""
+    """Buckets whose presence in a training text depends on its label, alone or together with another one.
+
+    A pair counts if it tells more than twice as much as each of the two, so that a term which tells nothing by
+    itself, as the mention of a group, is known where its company makes the difference. All pairs of buckets
+    that are frequent in toxic texts are looked at, in blocks.
+    """
     toxic = [x for x, y in zip(texts, labels, strict=True) if y]
     n, p = len(texts), len(toxic)
     a = np.bincount(np.concatenate(toxic), minlength=1 << BITS).astype(float)
     c = np.bincount(np.concatenate(texts), minlength=1 << BITS).astype(float)
-    spread = c * (n - c) * p * (n - p)
-    chi2 = np.divide(n * (a * n - c * p) ** 2, spread, out=np.zeros_like(a), where=spread > 0)
-    return (c >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2)
+    alone = _chi2(a, c, p, n)
+    known = (c >= LEAST_TEXTS) & (alone >= LEAST_CHI2)
+    often = np.flatnonzero(a >= LEAST_TEXTS)
+    place = np.full(1 << BITS, -1)
+    place[often] = np.arange(len(often))
+    for at in range(0, len(often), BLOCK):
+        block = slice(at, at + BLOCK)
+        both, bad = (np.zeros((len(often[block]), len(often))) for _ in range(2))
+        for k in range(0, n, BLOCK):
+            rows = np.zeros((len(texts[k : k + BLOCK]), len(often)), np.float32)
+            for i, x in enumerate(texts[k : k + BLOCK]):
+                own = place[x]
+                rows[i, own[own >= 0]] = 1
+            left = rows[:, block].T
+            both += left @ rows
+            bad += (left * labels[k : k + BLOCK].astype(np.float32)) @ rows
+        least = np.maximum(LEAST_PAIR_CHI2, 2 * np.maximum(alone[often[block]][:, None], alone[often][None, :]))
+        one, two = np.nonzero((both >= LEAST_TEXTS) & (_chi2(bad, both, p, n) >= least))
+        known[often[block][one]] = known[often[two]] = True
+    return known
 
 
 class Machine:
@@ -100,8 +130,8 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MAX_FIT) -> Machine:
-    """Fit on labelled documents: at most ``most``, the bound of what the driver holds; null labels and texts teach nothing."""
-    marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    """Fit on labelled documents: at most ``most``, the bound of what the driver holds; null labels and texts teach nothing. A document labelled both ways is toxic."""
+    marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     halves = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
     given = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from cindersift.llm import decontaminate, language, licenses, toxicity
@@ -27,21 +28,21 @@ def test_planted_benchmark_items_are_found(spark):
     assert want <= got and len(got) <= 1.5 * len(want) + 3
 
 
-def test_a_large_benchmark_is_joined_without_being_sent(spark, monkeypatch):
+def test_a_full_key_map_changes_no_result(spark, monkeypatch):
     docs, bench = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "benchmark")
     one = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "MAX_SENT", 0)
+    monkeypatch.setattr(decontaminate, "MAP_BITS", 64)
     assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == one
 
 
 def test_language_accuracy_on_held_out_documents(spark):
     docs = table(spark, FOLDER, "documents")
-    odd = spark.createDataFrame([(90001, None), (90002, ""), (90003, "123 !!"), (90004, "жук"), (None, "the and of with")], "doc_id long, text string")
+    odd = spark.createDataFrame([(90001, None), (90002, ""), (90003, "123 !!"), (90004, "жук"), (90005, "½ ² ① Ⅷ"), (None, "the and of with")], "doc_id long, text string")
     got = language.digest(docs.unionByName(odd, allowMissingColumns=True)).join(docs.select("doc_id", "lang"), "doc_id", "left").toPandas()
     held = got[got.held_out & got.lang.notna()]
     assert (held.lang == held.lang_pred).mean() > 0.97
     by = got.set_index("doc_id").lang_pred
-    assert list(by[[90001, 90002, 90003]]) == ["und"] * 3 and by[90004] in set(held.lang) and got.score.between(0, 1).all()
+    assert list(by[[90001, 90002, 90003]]) == ["und"] * 3 and by[90005] in (set(held.lang) if any(map(str.isalpha, "½²①Ⅷ")) else {"und"}) and by[90004] in set(held.lang) and got.score.between(0, 1).all()
     assert set(language.digest(docs.withColumn("lang", F.lit(None).cast("string")).limit(20)).toPandas().lang_pred) == {"und"}
 
 
@@ -87,3 +88,24 @@ def test_licence_families(spark):
         assert len(hit) and (hit.family == family).all() and hit.confirmed.all()
     quiet = got[~got.doc_id.map(lambda d: any(w in (texts.get(d) or "").lower() for w in ("licen", "copyright", "rights")))]
     assert (quiet[quiet.doc_id != 90003].family == "none").mean() > 0.995
+
+
+def test_pair_without_marginal_effect_is_learned():
+    rng = np.random.default_rng(3)
+    filler = [f"f{i}" for i in range(200)]
+    known, rows, marks = toxicity.Buckets(), [], []
+    for _ in range(1600):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(known.of(" ".join([*rng.choice(filler, 12), *["idiot"] * insult, *["people"] * group])))
+        marks.append(float(insult == group))
+    machine = toxicity.Machine().fit(rows[:1200], np.array(marks[:1200]))
+    right = [(machine.score(x) >= 0.5) == y for x, y in zip(rows[1200:], marks[1200:])]
+    assert np.mean(right) > 0.95
+
+
+def test_labels_both_ways_repeats_and_empty_tables(spark):
+    docs = spark.createDataFrame([(i, "bad awful words" if i % 2 else "good plain words") for i in range(60)] + [(61, None), (61, None), (None, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    one, two = (sorted((r.doc_id or -1, r.score) for r in toxicity.digest(d, labels).collect()) for d in (docs, docs.orderBy(F.desc("doc_id"))))
+    assert one == two and len(one) == 63
+    assert toxicity.digest(docs.limit(0), labels).count() == 0 and {r.predicted for r in toxicity.digest(docs, labels.limit(0)).collect()} == {0}
