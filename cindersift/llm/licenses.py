@@ -31,8 +31,13 @@ TEMPLATES = {
 UNKNOWN, NONE = "unknown", "none"
 #: Notices of no family.
 OTHER = ["Licensed under the terms of the agreement.", "See the license for details.", "Released under a license of its own.", "This work is licensed under the Example License, version 1.", "Use is subject to license terms."]
-#: Ordinary lines to train on, at most.
-MAX_LINES = 4_000
+#: Ordinary lines to train on are those of about so many documents, drawn by hash of their text.
+MAX_DOCS = 1_000
+#: What all ordinary lines weigh together in training; a notice weighs 1.
+ORDINARY = 200.0
+#: Marks of comments at the beginning of a line, and a line that is wrapped: short and followed by one that is not blank.
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--)[ \t]*"
+WRAPPED = r"(?m)^([^\n]{1,120})\n(?=[ \t\r]*[^\s])"
 #: Part of a template's words that a paragraph must have.
 CONFIRM = 0.8
 #: Part of the held-out notices that the calibrated probability lets pass, and its least value.
@@ -47,8 +52,10 @@ def terms_of(line: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """Paragraphs: lines with a letter."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"\p{L}"))
+    """Paragraphs with a letter: each line without comment marks, and each block of wrapped lines as one."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), MARKS, "")
+    joined = F.regexp_replace(body, WRAPPED, "$1 ")
+    return F.filter(F.array_distinct(F.concat(F.split(body, "\n"), F.split(joined, "\n"))), lambda line: line.rlike(r"\p{L}"))
 
 
 def notices() -> list[tuple[str, str, bool]]:
@@ -68,15 +75,18 @@ class Model:
         self.classes, self.bias, self.weights, self.bar = classes, bias, weights, bar
 
 
-def train(spark: SparkSession, docs: DataFrame, text: str = "text", most: int = MAX_LINES) -> Model:
-    """Fit on the notices and at most ``most`` lines of ``docs`` that name no licence."""
+def train(spark: SparkSession, docs: DataFrame, text: str = "text", most: int = MAX_DOCS) -> Model:
+    """Fit on the notices and the lines of about ``most`` documents that name no licence."""
     cue = "|".join(sorted({w.lower() for _, t, _ in notices() for w in re.findall(r"[A-Za-z]{5,}", t)}))
-    plain = docs.select(F.explode(lines_of(F.col(text))).alias("line")).where(~F.lower("line").rlike(cue)).orderBy(F.xxhash64("line"), "line").limit(most)
-    given = spark.createDataFrame(notices(), "family string, line string, held boolean")
+    n = docs.count()
+    drawn = docs.where(F.xxhash64(text) < -(1 << 63) + (most << 64) // n) if n > most else docs
+    plain = drawn.select(F.explode(lines_of(F.col(text))).alias("line")).where(~F.lower("line").rlike(cue)).cache()
+    each = min(1.0, ORDINARY / max(plain.count(), 1))
+    given = spark.createDataFrame([*notices(), (NONE, "", False)], "family string, line string, held boolean")
     rows = given.unionByName(plain.select(F.lit(NONE).alias("family"), "line", F.lit(False).alias("held")))
     classes = [*TEMPLATES, UNKNOWN, NONE]
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
-    rows = rows.select(number.alias("label"), terms_of(F.col("line")).alias("terms"), "held", F.when(F.col("family") == NONE, F.lit(0.05)).otherwise(F.lit(1.0)).alias("weight")).cache()
+    rows = rows.select(number.alias("label"), terms_of(F.col("line")).alias("terms"), "held", F.when(F.col("family") == NONE, F.lit(each)).otherwise(F.lit(1.0)).alias("weight")).cache()
     counter = CountVectorizer(inputCol="terms", outputCol="x", binary=True, vocabSize=4096, minDF=2.0).fit(rows.where("label < %d" % (len(classes) - 1)))
     table = counter.transform(rows)
     fitted = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=0.002, elasticNetParam=0.9, maxIter=60).fit(table.where("NOT held"))
@@ -85,6 +95,7 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", most: int =
     kept = fitted.transform(table.where("held AND label < %d" % len(TEMPLATES))).where("prediction = label")
     sure = [r[0] for r in kept.select(F.array_max(vector_to_array("probability"))).collect()]
     rows.unpersist()
+    plain.unpersist()
     bar = sorted(sure)[int((1 - PASS) * len(sure))] if sure else LEAST
     return Model(classes, [round(float(b), 6) for b in fitted.interceptVector.toArray()], weights, max(LEAST, round(min(bar, 0.9), 6)))
 
@@ -93,7 +104,9 @@ def paragraphs(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Licence paragraphs of ``docs(row, text)``: row, at (line number), line, family, probability, confirmed."""
     spark = docs.sparkSession
     weights = spark.createDataFrame([(t, *w) for t, w in model.weights.items()] or [("", *[0.0] * len(model.classes))], "term string, " + ", ".join(f"w{i} double" for i in range(len(model.classes))))
-    cue = "|".join(sorted({re.escape(t.split()[0]) for t in model.weights})) or "^$"
+    # A paragraph is none unless a term speaks for something else, where the biases alone do not.
+    sure = all(b < model.bias[-1] for b in model.bias[:-1])
+    cue = "|".join(sorted({re.escape(t.split()[0]) for t, w in model.weights.items() if max(w[:-1]) > w[-1] or not sure})) or "(?!)"
     lines = docs.where(F.lower(text).rlike(rf"(?<![a-z0-9])(?:{cue})(?![a-z0-9])")).select("row", F.posexplode(lines_of(F.col(text))).alias("at", "line")).where(F.lower("line").rlike(rf"(?<![a-z0-9])(?:{cue})(?![a-z0-9])"))
     grams = lines.select("row", "at", "line", F.explode(F.array_distinct(terms_of(F.col("line")))).alias("term"))
     sums = grams.join(F.broadcast(weights), "term").groupBy("row", "at", "line").agg(*[(F.sum(f"w{i}") + F.lit(b)).alias(f"z{i}") for i, b in enumerate(model.bias)])

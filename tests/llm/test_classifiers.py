@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -109,3 +111,18 @@ def test_labels_both_ways_repeats_and_empty_tables(spark):
     one, two = (sorted((r.doc_id or -1, r.score) for r in toxicity.digest(d, labels).collect()) for d in (docs, docs.orderBy(F.desc("doc_id"))))
     assert one == two and len(one) == 63
     assert toxicity.digest(docs.limit(0), labels).count() == 0 and {r.predicted for r in toxicity.digest(docs, labels.limit(0)).collect()} == {0}
+
+
+def test_wrapped_notices_are_paragraphs(spark):
+    plain = [(100 + i, f"ordinary line {i} about rivers and stones\nanother one about the {w} that fell") for i, w in enumerate("rain snow leaf roof star bell".split() * 8)]
+    notices = {family: max(wordings, key=len) for family, wordings in licenses.TEMPLATES.items() if family in ("mit", "bsd", "gpl", "apache")}
+    rows = []
+    for k, (family, text) in enumerate(sorted(notices.items())):
+        for w, mark in ((76, ""), (60, "# "), (70, " * ")):
+            rows.append((10 * k + w % 7, "\n".join(mark + line for line in textwrap.wrap(text, w)), family))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + plain + [(None, None), (999, "")], "doc_id long, text string")
+    got = licenses.scan(docs)
+    found = {r.doc_id: r for r in got.collect()}
+    assert [(k, found[k].family, found[k].confirmed) for k, _, _ in rows] == [(k, f, True) for k, _, f in rows]
+    assert all(found[k].family == "none" for k, _ in plain) and found[999].family == found[None].family == "none"
+    assert licenses.scan(docs.limit(0)).count() == 0
