@@ -22,11 +22,15 @@ def suspensions_of(companies: DataFrame, suspensions: DataFrame, as_of: Column,
 
     ``companies`` has ``name``; ``suspensions`` has company and date. An empty name matches nothing. A name not
     listed has n_listed 0 and is not suspended; ``suspended`` means within the look-back, not at this moment.
+    Where the list itself is empty nothing could be checked: n_listed and suspended are null and ``note`` says so.
     """
     rows = suspensions.withColumn("norm", normal_name(F.col("company"))).where("norm <> ''")
     held = rows.groupBy("norm").agg(F.count(F.lit(1)).alias("n_listed"), F.max("date").alias("latest"), F.bool_or(recent_between(as_of, F.col("date"), days)).alias("suspended"))
     out = companies.withColumn("norm", normal_name(F.col("name"))).join(held, "norm", "left").drop("norm")
-    return out.withColumn("n_listed", F.coalesce("n_listed", F.lit(0).cast("long"))).withColumn("suspended", F.coalesce("suspended", F.lit(False)))
+    read = not suspensions.isEmpty()
+    n, no = (F.lit(0).cast("long"), F.lit(False)) if read else (F.lit(None).cast("long"), F.lit(None).cast("boolean"))
+    note = F.lit(None if read else "suspension list is empty; could not check").cast("string")
+    return out.withColumn("n_listed", F.coalesce("n_listed", n)).withColumn("suspended", F.coalesce("suspended", no)).withColumn("note", note)
 
 
 def delisting(notice: Column, price: Column, language: Column, going_concern: Column, split_within_year: Column, disclosed: Column) -> dict[str, Column]:

@@ -12,7 +12,11 @@ from ..functions.constants import ALERT_DROP, GATE_REASONS, MATERIAL_FLAGS
 
 
 def append(snapshots: DataFrame, new: DataFrame) -> DataFrame:
-    """Old and new snapshots, where a new one replaces an old one of the same ticker and time."""
+    """Old and new snapshots, where a new one replaces an old one of the same ticker and time; of equal new ones
+    the largest by score, then flags, counts."""
+    rest = [c for c in new.columns if c not in ("ticker", "scanned_at")]
+    first = sorted(rest, key=lambda c: (c != "score", c))
+    new = new.groupBy("ticker", "scanned_at").agg(F.max(F.struct(*first)).alias("m")).select(*[F.col(f"m.{c}").alias(c) if c in rest else F.col(c) for c in new.columns])
     return snapshots.join(new.select("ticker", "scanned_at"), ["ticker", "scanned_at"], "left_anti").select(*new.columns).unionByName(new)
 
 

@@ -111,13 +111,13 @@ def share_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+    li = table(spark, sf, "lineitem")
     code = F.element_at(F.array(*[F.lit(c) for c in "PSAMFGX"]), F.col("l_linenumber"))
     return li.select(F.col("l_suppkey").alias("cik"), (F.col("l_partkey") % 7).alias("insider"), code.alias("code"), cents("l_extendedprice").cast("double").alias("value"), (F.col("l_returnflag") == "R").alias("is_10b5_1"), (F.col("l_linestatus") == "O").alias("preceded_by_exercise"))
 
 
 def fails(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_orderkey % 40 = 0")
+    li = table(spark, sf, "lineitem")
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", cents("l_extendedprice"), "l_quantity", "l_orderkey", "l_linenumber")
     return li.select(F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0")).alias("symbol"), F.date_format("l_shipdate", "yyyyMMdd").alias("settlement_date"), F.round("l_quantity").cast("double").alias("quantity"), F.row_number().over(order).cast("long").alias("line_no"), F.round(F.col("l_extendedprice"), 2).alias("price"))
 

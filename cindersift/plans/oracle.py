@@ -286,7 +286,7 @@ ORACLE["comment_letters"] = f"WITH {FILINGS}, l AS (SELECT cik, {_n} AS letters,
 
 # ---- insiders and market ----------------------------------------------------
 
-TXN = """txn AS (SELECT l_suppkey AS cik, l_partkey % 7 AS insider, substr('PSAMFGX', l_linenumber, 1) AS code, round(l_extendedprice * 100)::BIGINT::DOUBLE AS value, l_returnflag = 'R' AS plan, l_linestatus = 'O' AS linked FROM lineitem WHERE l_orderkey % 50 = 0)"""
+TXN = """txn AS (SELECT l_suppkey AS cik, l_partkey % 7 AS insider, substr('PSAMFGX', l_linenumber, 1) AS code, round(l_extendedprice * 100)::BIGINT::DOUBLE AS value, l_returnflag = 'R' AS plan, l_linestatus = 'O' AS linked FROM lineitem)"""
 PEOPLE = f"""{TXN}, ins0 AS (SELECT cik, count(DISTINCT insider) FILTER (code = 'P') AS buyers, count(*) FILTER (code = 'P') AS n_buys, coalesce(sum(value) FILTER (code = 'P'), 0) AS bought, coalesce(sum(value) FILTER (code = 'S' AND NOT plan AND NOT linked), 0) AS sold_freely,
   coalesce(sum(value) FILTER (code = 'S' AND plan), 0) AS sold_by_plan, coalesce(sum(value) FILTER (code = 'S' AND linked AND NOT plan), 0) AS sold_after_exercise, count(*) FILTER (code IN ('A', 'M', 'F', 'G', 'C', 'J', 'D')) AS n_excluded, 0::BIGINT AS n_144 FROM txn GROUP BY 1),
 ins1 AS (SELECT *, buyers >= 2 AS "cluster", false AS overhang, CASE WHEN buyers >= 2 AND bought > sold_freely THEN 'bullish' WHEN sold_freely > 0 THEN 'bearish' ELSE 'neutral' END AS net, CASE WHEN buyers >= 3 OR bought >= 500000 THEN 'high' WHEN buyers >= 2 OR sold_freely > 0 THEN 'medium' ELSE 'low' END AS confidence,
@@ -308,7 +308,7 @@ def norm(c: str) -> str:
 SUSP = f"""{COMPANY}, susp AS (SELECT name || ', Inc.' AS company, strftime({DAY} - (cik % 400)::INT, '%Y-%m-%d') AS date, cik % 400 AS age FROM company WHERE cik % 12 = 0),
 held AS (SELECT {norm('company')} AS norm, count(*) AS n_listed, max(date) AS latest, bool_or(age BETWEEN 0 AND 180) AS suspended FROM susp GROUP BY 1),
 halted AS (SELECT cik, name, coalesce(n_listed, 0) AS n_listed, latest, coalesce(suspended, false) AS suspended FROM company LEFT JOIN held ON {norm('name')} = norm)"""
-ORACLE["suspension_match"] = f"WITH {SUSP}\nSELECT * FROM halted"
+ORACLE["suspension_match"] = f"WITH {SUSP}\nSELECT *, NULL::VARCHAR AS note FROM halted"
 ORACLE["suspension_parse"] = f"WITH {SUSP}\nSELECT company, date, '34-' || replace(date, '-', '') AS release FROM susp"
 
 
@@ -321,7 +321,7 @@ def delist(notice: str, price: str, language: str, concern: str, split: str, dis
 
 _tier, _tiny, _dflags = delist("cik % 4 = 0", "CASE WHEN cik % 9 <> 0 THEN price END", "cik % 5 = 0", "cik % 6 = 0", "cik % 7 = 0", "cik % 31 = 0")
 ORACLE["delisting_tier"] = f"WITH {COMPANY}\nSELECT cik, {_tier} AS tier, {_tier} = 'determination' AS hard_exclude, {_tiny} AS extreme, {_dflags} AS flags FROM company"
-FAILS = "fails AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 5, '0') AS symbol, strftime(l_shipdate, '%Y%m%d') AS settlement_date, round(l_quantity)::DOUBLE AS quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, round(l_extendedprice * 100)::BIGINT, l_quantity, l_orderkey, l_linenumber) AS line_no, round(l_extendedprice, 2) AS price FROM lineitem WHERE l_orderkey % 40 = 0)"
+FAILS = "fails AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 5, '0') AS symbol, strftime(l_shipdate, '%Y%m%d') AS settlement_date, round(l_quantity)::DOUBLE AS quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, round(l_extendedprice * 100)::BIGINT, l_quantity, l_orderkey, l_linenumber) AS line_no, round(l_extendedprice, 2) AS price FROM lineitem)"
 ORACLE["ftd_stress"] = f"WITH {FAILS}\nSELECT symbol, count(DISTINCT settlement_date) AS n_dates, sum(quantity) AS total_fails, first(quantity ORDER BY settlement_date DESC, line_no) AS latest_fails, count(DISTINCT settlement_date) >= 2 AS persistent FROM fails GROUP BY 1"
 ORACLE["ftd_parse"] = f"WITH {FAILS}\nSELECT * FROM fails"
 _ms = "(CASE " + tier_of_float("fs")[5:-4] + " END)"
@@ -332,7 +332,7 @@ ORACLE["fts_probe"] = "SELECT doc_id, array_to_string(list_filter(['license', 'c
 
 # ---- scores -----------------------------------------------------------------
 
-_t2, _, _df2 = delist("has_delisting_notice", "price", "false", "false", "serial_splitter", "false")
+_t2, _, _df2 = delist("has_delisting_notice", "price", "false", "false", "false", "false")
 _has = lambda name: f"coalesce(list_contains(string_split(up_flags, ';'), {q(name)}), false)"
 SIGNALS = f"""{PAIR}, {DILUTION}, {PEOPLE}, {SUSP},
 fun AS (SELECT cik, {EVS} AS ev_sales, {GROWTH} AS revenue_growth, ({PIOTROSKI})::DOUBLE AS piotroski, {Z} AS altman_z, {M} AS beneish_m, {FIN} AS out_of_model, {flags(*UP)} AS up_flags, {d('t.sbc', 't.revenue')} AS sbc_revenue FROM p JOIN company USING (cik) QUALIFY row_number() OVER (PARTITION BY cik ORDER BY fy DESC) = 1),
@@ -398,7 +398,7 @@ ORACLE["exclude_flagged"] = score("ticker, 'critical flag' AS reason", more=f"WH
 ORACLE["rank_global"] = score(f"ticker, gated, {_rank} AS rank", "trader")
 ORACLE["rank_sector"] = score(f"ticker, sic_sector, {_srank}, {_ssize}", "high-return")
 for _name, _key in (("sort_growth", "add_growth"), ("sort_valuation", "add_valuation"), ("sort_sentiment", "add_sentiment"), ("sort_risk", "-penalty_total"), ("top_n", "composite")):
-    ORACLE[_name] = score(f"ticker, {r6(_key)} AS key", more=f"WHERE NOT gated ORDER BY {_key} DESC, ticker LIMIT 20")
+    ORACLE[_name] = score(f"ticker, {r6(_key)} AS key", more=f"WHERE NOT gated ORDER BY {_key} DESC, ticker" + (" LIMIT 20" if _name == "top_n" else ""))
 ORACLE["full_union"] = score("ticker, CASE WHEN gated THEN 'high-risk' ELSE 'ranked' END AS section")
 ORACLE["sector_size_pct"] = f"""WITH {FUND}, {COMPANY}, g AS (SELECT cik, fy, sic_sector, {bucket('market_cap')} AS bucket, floor(ebit / 10000)::BIGINT AS v FROM f JOIN company USING (cik)),
 k AS (SELECT *, (rank() OVER (PARTITION BY sic_sector, bucket ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY sic_sector, bucket, v) - 1) / 2.0::DOUBLE) / count(v) OVER (PARTITION BY sic_sector, bucket) AS x FROM g)

@@ -402,7 +402,7 @@ def _top(name: str, by: str, n: int | None) -> None:
 
 
 for _name, _by in (("sort_growth", "growth"), ("sort_valuation", "valuation"), ("sort_sentiment", "sentiment"), ("sort_risk", "risk"), ("top_n", "score")):
-    _top(_name, _by, 20)
+    _top(_name, _by, 20 if _name == "top_n" else None)
 
 
 @query

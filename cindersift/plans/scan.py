@@ -65,8 +65,9 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     out = companies.join(fundamentals(derived.fund(spark, sf), companies), "cik", "left")
     for part in (d, people, halted, tape.select("cik", "has_delisting_notice")):
         out = out.join(part, "cik", "left")
+    # The gate asks for a split within the year; a serial splitter of any time does not show one.
     no = F.lit(False)
-    tier = market.delisting(F.col("has_delisting_notice"), F.col("price"), no, no, F.col("serial_splitter"), no)
+    tier = market.delisting(F.col("has_delisting_notice"), F.col("price"), no, no, no, no)
     seen = F.col("has_delisting_notice").isNotNull() | F.col("price").isNotNull()
     return out.withColumn("delisting_tier", F.when(seen, tier["tier"])).withColumn("delisting_flags", F.when(seen, tier["flags"])).withColumn("sentiment", F.lit(None).cast("double"))
 
