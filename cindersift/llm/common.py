@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``settle``, as a compressed table: smaller than a checkpoint, and read back in few tasks if it is small."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` whose ``name`` is in the written table ``ids``, which is sent to all tasks if it is small."""
     few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
