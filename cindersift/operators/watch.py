@@ -58,5 +58,10 @@ def add(watchlist: DataFrame, tickers: DataFrame, now: Column) -> DataFrame:
     return watchlist.unionByName(new.join(watchlist, "ticker", "left_anti"))
 
 
+def listing(watchlist: DataFrame) -> DataFrame:
+    """The watchlist in the order of adding, then of tickers."""
+    return watchlist.orderBy("added_at", "ticker")
+
+
 def remove(watchlist: DataFrame, tickers: DataFrame) -> DataFrame:
     return watchlist.join(tickers.select(F.upper(F.trim("ticker")).alias("ticker")), "ticker", "left_anti")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import ITEMS, TAGS, TOXIC_PHRASES
+from ..functions.constants import ITEMS, PROBES, TAGS, TOXIC_PHRASES
 
 AS_OF_EVENTS = "2024-01-31"
 AS_OF = "2001-12-31"
@@ -62,17 +62,17 @@ def paired(periods: DataFrame) -> DataFrame:
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Tagged facts of six concepts with alternates, amendments, ties, forecasts and quarters."""
     base = fund(spark, sf).select("cik", "fy", *FACT_CONCEPTS.values())
-    out = None
+    every = []
+    s, fy = F.col("cik"), F.col("fy")
+    text = lambda year, rest: F.concat(year.cast("string"), F.lit(rest))
+    end, filed = text(fy, "-12-31"), text(fy + 1, "-03-01")
     for concept, column in FACT_CONCEPTS.items():
-        tags, lasting = TAGS[concept], concept in ("revenue", "net_income")
-        nth = lambda k, tags=tags: F.element_at(F.array(*[F.lit(t) for t in tags]), ((F.col("cik") + k) % len(tags) + 1).cast("int"))
-        fy, v = F.col("fy"), F.col(column)
-        text = lambda year, rest: F.concat(year.cast("string"), F.lit(rest))
+        tags, lasting, v = TAGS[concept], concept in ("revenue", "net_income"), F.col(column)
+        unit = F.lit("shares" if concept == "shares" else "USD").alias("unit")
+        nth = lambda k, tags=tags: F.element_at(F.array(*[F.lit(t) for t in tags]), ((s + k) % len(tags) + 1).cast("int"))
         year_start = text(fy, "-01-01") if lasting else F.lit(None).cast("string")
-        row = lambda kind, tag, start, end, val, fp, form, filed: F.struct(tag.alias("tag"), start.alias("start"), end.alias("end"), val.alias("val"), F.lit(fp).alias("fp"), F.lit(form).alias("form"), filed.alias("filed"), (fy * 10 + kind).alias("row_pos"))
-        s = F.col("cik")
-        end, filed = text(fy, "-12-31"), text(fy + 1, "-03-01")
-        rows = [
+        row = lambda kind, tag, start, end, val, fp, form, filed, unit=unit: F.struct(tag.alias("tag"), unit, start.alias("start"), end.alias("end"), val.alias("val"), F.lit(fp).alias("fp"), F.lit(form).alias("form"), filed.alias("filed"), (fy * 10 + kind).alias("row_pos"))
+        every += [
             row(0, nth(0), year_start, end, v, "FY", "10-K", filed),
             F.when(s % 4 == 1, row(1, nth(0), year_start, end, v + 1, "FY", "10-K/A", text(fy + 1, "-06-01"))),
             F.when(s % 4 == 2, row(2, nth(0), year_start, end, v + 2, "FY", "10-K", filed)),
@@ -80,10 +80,9 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
             F.when(s % 5 == 0, row(4, nth(0), year_start, text(fy + 2, "-12-31"), F.lit(1.0), "FY", "10-K", filed)),
             F.when(s % 6 == 0, row(5, nth(0), text(fy, "-10-01") if lasting else year_start, end, v / 4, "Q4", "10-Q", filed)),
         ]
-        part = base.select("cik", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("cik", "r.*")
-        dei = F.col("tag").startswith("dei:")
-        part = part.select("cik", F.when(dei, "dei").otherwise("us-gaap").alias("taxonomy"), F.regexp_replace("tag", "^dei:", "").alias("tag"), F.lit("shares" if concept == "shares" else "USD").alias("unit"), "row_pos", "start", "end", "val", "fp", "form", "filed", F.concat_ws("-", "cik", "row_pos").alias("accn"))
-        out = part if out is None else out.unionByName(part)
+    dei = F.col("tag").startswith("dei:")
+    out = base.select("cik", F.explode(F.array_compact(F.array(*every))).alias("r")).select("cik", "r.*")
+    out = out.select("cik", F.when(dei, "dei").otherwise("us-gaap").alias("taxonomy"), F.regexp_replace("tag", "^dei:", "").alias("tag"), "unit", "row_pos", "start", "end", "val", "fp", "form", "filed", F.concat_ws("-", "cik", "row_pos").alias("accn"))
     return out.where("val IS NOT NULL")
 
 
@@ -134,6 +133,15 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return d.select((F.col("doc_id") % 100).alias("cik"), "doc_id", F.when(F.col("doc_id") % 37 == 0, F.concat("text", F.lit(" "), F.upper(phrase))).otherwise(F.col("text")).alias("text"))
 
 
+def filed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Filed texts with a form and a day, and phrases of listing trouble put into some: cik, doc_id, form, filing_date, text."""
+    d = documents(spark, sf)
+    nth = lambda texts: F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("doc_id") % len(texts) + 1).cast("int"))
+    trouble = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" "), F.upper(nth(PROBES["delisting"]["phrases"])))).otherwise(F.col("text"))
+    day = F.date_format(F.date_add(F.lit("2023-06-01").cast("date"), (F.col("doc_id") % 400).cast("int")), "yyyy-MM-dd")
+    return d.select("cik", "doc_id", nth(["424B5", "8-K", "S-1", "10-K"]).alias("form"), day.alias("filing_date"), trouble.alias("text"))
+
+
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """ticker, scanned_at, score, flags from events by user and day."""
     flag = F.create_map(*[F.lit(x) for kv in {"click": "ACTIVE-ATM", "view": "OVERHANG-HIGH", "purchase": "RESTATEMENT", "signup": "SHELL-ARC", "error": "SERIAL-SPLITTER"}.items() for x in kv])

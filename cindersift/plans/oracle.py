@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.constants import CRITICAL, DURATIONS, GATE_REASONS, ITEMS, LEGAL_SUFFIXES, MATERIAL_FLAGS, MODULES, NT_FORMS, POSITIVES, PRESETS, PROFILES, SHARE_SERIES, SHELF_FORMS, TAGS, TIERS, TOXIC_PHRASES
+from ..functions.constants import CORE_INPUTS, CRITICAL, DURATIONS, GATE_REASONS, ITEMS, LEGAL_SUFFIXES, MATERIAL_FLAGS, MODULES, NT_FORMS, POSITIVES, PRESETS, PROBES, PROFILES, SHARE_SERIES, SHELF_FORMS, TAGS, TIERS, TOXIC_PHRASES
 from ..functions.models import RATINGS
 
 EV_DAY, DAY = "DATE '2024-01-31'", "DATE '2001-12-31'"
@@ -424,3 +424,35 @@ ORACLE["universe_lookup"] = f"WITH {COMPANY}\nSELECT ticker, lpad(cik::VARCHAR,
 ORACLE["companyfacts_json"] = f"WITH {FUND}\nSELECT lpad(cik::VARCHAR, 10, '0') AS cik, 'Revenues' AS tag, 'USD' AS unit, \"end\", {r6('revenue')} AS val FROM f"
 ORACLE["submissions_json"] = f"WITH {FILINGS}\nSELECT lpad(cik::VARCHAR, 10, '0') AS cik, pos, form, filing_date, accession, CASE WHEN pos < 3 THEN array_to_string(codes, ',') ELSE '' END AS items, 3674::BIGINT AS sic, '3674' AS sic_sector FROM filings"
 ORACLE["form4_xml"] = f"WITH {TXN}\nSELECT cik, 'P' || insider AS insider, code, plan AS is_10b5_1, 2 * count(*) AS n, sum(value) * 20 AS value FROM txn GROUP BY 1, 2, 3, 4"
+
+# ---- evidence ---------------------------------------------------------------
+
+ORACLE["candidates"] = f"WITH {COMPANY}\nSELECT ticker, least(3 * cik + 2, 5 * cik) AS pos FROM company"
+ORACLE["ticker_cik"] = f"WITH {COMPANY}\nSELECT ticker, CASE WHEN cik % 5 = 0 THEN '9' || cik WHEN cik % 7 <> 0 THEN lpad(cik::VARCHAR, 10, '0') END AS cik FROM company"
+
+
+def lacking(p: str) -> str:
+    return flags(*[(f"{p}.{c} IS NULL", c) for c in CORE_INPUTS])
+
+
+def year_notes(n: str, p: str) -> str:
+    line = f"CASE WHEN {n} > 0 AND {lacking(p)} <> '' THEN 'core inputs unavailable for ' || {p}.\"end\" || ': ' || replace({lacking(p)}, ';', ', ') || ' (dependent metrics suppressed)' END"
+    return f"[CASE {n} WHEN 0 THEN 'fundamentals suppressed (no annual 10-K period in companyfacts)' WHEN 1 THEN 'fundamentals limited to one annual period (prior year unavailable)' END, {line}]"
+
+
+ORACLE["core_inputs_note"] = f"WITH {FUND}\nSELECT cik, fy, {lacking('f')} AS missing FROM f"
+NEWEST = "newest AS (SELECT cik, count(*) AS n, max_by(f, fy) AS t FROM f GROUP BY 1)"
+ORACLE["completeness_notes"] = f"""WITH {FUND}, {COMPANY}, {NEWEST}, k AS (SELECT ticker, cik, price, t, CASE cik % 9 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE coalesce(n, 0) END AS n FROM company LEFT JOIN newest USING (cik))
+SELECT ticker, CASE WHEN cik % 7 = 0 THEN 'degraded: no CIK' ELSE array_to_string(list_filter({year_notes('n', 't')} || [CASE WHEN price = 0 THEN 'price unavailable' END], lambda x: x IS NOT NULL), ';') END AS notes FROM k"""
+ORACLE["freshness"] = f"""WITH {FUND}, e AS (SELECT cik, max("end") AS e FROM f GROUP BY 1),
+s AS (SELECT max_by(e, cik) FILTER (cik % 3 <> 0) AS period, coalesce(max_by(e || '+60', cik) FILTER (cik % 4 <> 0), 'n/a') AS filed, bool_or(cik % 8 = 0) AS held FROM e)
+SELECT 'filings/news' AS domain, 'filings/news: 2024-01-31 00:00 UTC — EDGAR updates continuously' AS line
+UNION ALL SELECT 'financials', 'financials: latest filed ' || period || ' (filed ' || filed || ') — the newest 10-K/10-Q the company has reported' FROM s WHERE period IS NOT NULL
+UNION ALL SELECT 'institutional (13F)', 'institutional (13F): latest filed — 13F institutional holdings are quarterly and lagged (~45 days after quarter-end).' FROM s WHERE held"""
+_probed = " UNION ALL ".join(f"SELECT cik, {q(name)} AS probe, count(*) AS n_hits FROM filed WHERE form IN {qs(p['forms'])} AND ({' OR '.join(f'contains(low, {q(x.lower())})' for x in p['phrases'])}) GROUP BY 1" for name, p in PROBES.items())
+ORACLE["stock_probes"] = f"""WITH {DOCS}, filed AS (SELECT cik, ['424B5', '8-K', 'S-1', '10-K'][doc_id % 4 + 1] AS form, lower(CASE WHEN doc_id % 11 = 0 THEN text || ' ' || {lst(PROBES['delisting']['phrases'])}[doc_id % 3 + 1] ELSE text END) AS low FROM docs WHERE DATE '2023-06-01' + (doc_id % 400)::INT BETWEEN DATE '2023-08-01' AND {EV_DAY})
+{_probed}"""
+ORACLE["provider_cascade"] = f"WITH {COMPANY}\nSELECT ticker, CASE WHEN cik % 2 = 0 THEN 'first' WHEN cik % 3 <> 0 THEN 'second' END AS provider, CASE WHEN cik % 2 <> 0 AND cik % 3 = 0 THEN 'no answer from first, second' END AS failure, CASE WHEN cik % 2 = 0 THEN price WHEN cik % 3 <> 0 THEN price + 1 END AS price FROM company"
+ORACLE["failure_isolation"] = f"WITH {COMPANY}\nSELECT ticker, CASE WHEN cik % 4 <> 0 THEN cik END AS cik, CASE WHEN cik % 4 = 0 THEN 'unreadable payload' END AS failure FROM company"
+ORACLE["watch_order"] = f"WITH {COMPANY}\nSELECT ticker, strftime(DATE '2024-01-01' + (cik % 30)::INT, '%Y-%m-%d') AS added_at FROM company ORDER BY added_at, ticker"
+ORACLE["export_full"] = f"WITH {SIGNALS}, {composed()}, {NEWEST}\nSELECT ticker, round(composite, 4) AS composite, sic_sector, {_ssize}, gated, gate_reasons, suppressed, array_to_string(list_filter({year_notes('coalesce(newest.n, 0)', 'newest.t')}, lambda x: x IS NOT NULL), ';') AS completeness, 1::BIGINT AS n_notes, round(coalesce(sub_dilution, 0), 4) AS dilution_penalty FROM sc LEFT JOIN newest USING (cik)"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..operators import dilution, events, facts, insider, market, scoring, watch
+from ..operators import dilution, events, evidence, facts, insider, market, scoring, watch
 from ..sources import readers, sinks
 from . import derived, scan
 
@@ -497,3 +497,82 @@ def form4_xml(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.concat(F.lit("<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>P"), F.col("insider").cast("string"), F.lit("</rptOwnerName></reportingOwnerId></reportingOwner><nonDerivativeTable>"), row, row, F.lit("</nonDerivativeTable>"), note, F.lit("</ownershipDocument>"))
     parsed = readers.ownership_xml(t.select("cik", F.lit("a").alias("accession"), doc.alias("value")))
     return parsed.groupBy("cik", "insider", "code", "is_10b5_1").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+
+
+# ---- evidence ---------------------------------------------------------------
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Names as typed: twice, with spaces and in lower case, and empty ones."""
+    typed = F.explode(F.array(F.struct(F.concat(F.lit(" "), F.lower("ticker")).alias("ticker"), (3 * F.col("cik") + 2).alias("pos")), F.struct(F.col("ticker"), (5 * F.col("cik")).alias("pos")), F.struct(F.lit("  ").alias("ticker"), F.col("cik").alias("pos"))))
+    return derived.company(spark, sf).select(typed.alias("t")).select("t.*")
+
+
+@query
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.candidates(_asked(spark, sf))
+
+
+@query
+def ticker_cik(spark: SparkSession, sf: str) -> DataFrame:
+    c = derived.company(spark, sf)
+    asked = c.select("ticker", F.when(F.col("cik") % 5 == 0, F.concat(F.lit("9"), F.col("cik").cast("string"))).when(F.col("cik") % 5 == 1, F.lit(" ")).alias("cik"))
+    return evidence.resolve(asked, c.where("cik % 7 <> 0").select("ticker", F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"))).select("ticker", "cik")
+
+
+@query
+def core_inputs_note(spark: SparkSession, sf: str) -> DataFrame:
+    p = derived.paired(derived.fund(spark, sf))
+    return p.select("cik", "fy", joined(evidence.missing_inputs(F.col("t"))).alias("missing"))
+
+
+@query
+def completeness_notes(spark: SparkSession, sf: str) -> DataFrame:
+    f = derived.fund(spark, sf)
+    newest = f.groupBy("cik").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct(*f.columns[2:]), "fy").alias("t"))
+    c = derived.company(spark, sf).join(newest, "cik", "left")
+    m = F.col("cik")
+    n = F.when(m % 9 == 0, 0).when(m % 9 == 1, 1).otherwise(F.col("n"))
+    price = F.when(F.col("price") == 0, F.array(F.lit("price unavailable")))
+    notes = evidence.completeness(F.when(m % 7 == 0, F.lit("no CIK")), evidence.fundamentals_notes(n, F.col("t.end"), evidence.missing_inputs(F.col("t"))), price)
+    return c.select("ticker", joined(notes).alias("notes"))
+
+
+@query
+def freshness(spark: SparkSession, sf: str) -> DataFrame:
+    f = derived.fund(spark, sf).groupBy("cik").agg(F.max("end").alias("end"))
+    m = F.col("cik")
+    seen = f.select((-m).alias("pos"), F.when(m % 3 != 0, F.col("end")).otherwise("").alias("financials_period"), F.when(m % 4 != 0, F.concat(F.col("end"), F.lit("+60"))).alias("financials_filed"), (m % 8 == 0).alias("institutional"))
+    return evidence.freshness(seen, F.lit(derived.AS_OF_EVENTS).cast("timestamp"))
+
+
+@query
+def stock_probes(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.stock_probes(derived.filed_texts(spark, sf), F.lit("2023-08-01"), F.lit(derived.AS_OF_EVENTS))
+
+
+@query
+def provider_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    c = derived.company(spark, sf)
+    first = c.where("cik % 2 = 0").select("ticker", "price")
+    second = c.where("cik % 3 <> 0").select("ticker", (F.col("price") + 1).alias("price"))
+    return readers.cascade(c.select("ticker"), "ticker", {"first": first, "second": second})
+
+
+@query
+def failure_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    c = derived.company(spark, sf)
+    body = F.concat(F.lit('{"cik":'), F.col("cik").cast("string"), F.when(F.col("cik") % 4 == 0, F.lit(',"na')).otherwise(F.lit("}")))
+    return readers.isolated(c.select("ticker", body.alias("value")), "cik long").select("ticker", "parsed.cik", "failure")
+
+
+@query
+def watch_order(spark: SparkSession, sf: str) -> DataFrame:
+    added = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("cik") % 30).cast("int")), "yyyy-MM-dd")
+    return watch.listing(derived.company(spark, sf).select("ticker", added.alias("added_at")))
+
+
+@query
+def export_full(spark: SparkSession, sf: str) -> DataFrame:
+    rec = sinks.records(scoring.rank(_scored(spark, sf)))
+    return rec.select("ticker", "composite", "sic_sector", F.col("sector_size").cast("double").alias("sector_size"), "gated", joined("gate_reasons").alias("gate_reasons"), joined("suppressed").alias("suppressed"), joined("completeness").alias("completeness"), F.size("notes").cast("long").alias("n_notes"), F.round(F.coalesce(F.try_element_at("penalty_contributions", F.lit("dilution")), F.lit(0.0)), 4).alias("dilution_penalty"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..operators import dilution, events, insider, market, scoring
+from ..operators import dilution, events, evidence, insider, market, scoring
 from . import derived
 
 
@@ -43,7 +43,7 @@ def dilution_profile(points: DataFrame, filings: DataFrame, tape: DataFrame, tex
 
 def fundamentals(periods: DataFrame, companies: DataFrame) -> DataFrame:
     """The models of each company's newest year."""
-    last = periods.groupBy("cik").agg(F.max("fy").alias("fy"))
+    last = periods.groupBy("cik").agg(F.max("fy").alias("fy"), F.count(F.lit(1)).alias("n_ends"))
     p = derived.paired(periods).join(last, ["cik", "fy"]).join(companies.select("cik", "sic"), "cik")
     t, t1 = F.col("t"), F.col("t1")
     value = models.ev_valuation(t, t["market_cap"], F.col("sic"))
@@ -51,6 +51,7 @@ def fundamentals(periods: DataFrame, companies: DataFrame) -> DataFrame:
     return p.select(
         "cik", F.when(value["computable"], value["value"]).alias("ev_sales"), models.growth(t, t1).alias("revenue_growth"), models.piotroski(t, t1)["value"].cast("double").alias("piotroski"),
         models.altman(t)["value"].alias("altman_z"), models.beneish(t, t1)["value"].alias("beneish_m"), models.is_financial(F.col("sic")).alias("out_of_model"), up["flags"].alias("up_flags"), up["sbc_revenue"].alias("sbc_revenue"),
+        evidence.fundamentals_notes(F.col("n_ends"), t["end"], evidence.missing_inputs(t)).alias("year_notes"),
     )
 
 
@@ -69,6 +70,9 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     no = F.lit(False)
     tier = market.delisting(F.col("has_delisting_notice"), F.col("price"), no, no, no, no)
     seen = F.col("has_delisting_notice").isNotNull() | F.col("price").isNotNull()
+    none = F.lit(None)
+    noted = evidence.fundamentals_notes(none.cast("long"), none.cast("string"), none.cast("array<string>"))
+    out = out.withColumn("completeness", evidence.completeness(none.cast("string"), F.coalesce("year_notes", noted))).drop("year_notes")
     return out.withColumn("delisting_tier", F.when(seen, tier["tier"])).withColumn("delisting_flags", F.when(seen, tier["flags"])).withColumn("sentiment", F.lit(None).cast("double"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.constants import PROBES
 from ..functions.expr import iso_date, number
 
 FACT = "array<struct<start:string,end:string,val:double,fp:string,form:string,filed:string,accn:string>>"
@@ -144,6 +145,40 @@ def phrase_hits(docs: DataFrame, phrases: list[str], forms: list[str] | None = N
     return kept.withColumn("hits", hit).where(F.size("hits") > 0)
 
 
+def stock_probes(filed: DataFrame, since: Column, until: Column, cik: str | None = None) -> DataFrame:
+    """How many filings of each company answer each probe: cik, probe, n_hits.
+
+    ``filed``: cik, form, filing_date, text. Both days count; of all companies unless ``cik`` names one.
+    """
+    seen = filed.where(F.col("filing_date").between(since, until))
+    if cik is not None:
+        seen = seen.where(F.col("cik") == cik)
+    low = F.lower("text")
+    hit = lambda p: F.col("form").isin(p["forms"]) & F.exists(F.array(*[F.lit(x.lower()) for x in p["phrases"]]), lambda x: F.contains(low, x))
+    found = F.array_compact(F.array(*[F.when(hit(p), F.lit(name)) for name, p in PROBES.items()]))
+    return seen.select("cik", F.explode(found).alias("probe")).groupBy("cik", "probe").agg(F.count(F.lit(1)).alias("n_hits"))
+
+
+def cascade(keys: DataFrame, key: str, sources: dict[str, DataFrame]) -> DataFrame:
+    """``keys`` with the row of the first source, in the order given, that has one for the key, and its name as
+    ``provider``; where none has, ``failure`` lists all that were asked. Of equal keys of one source the least row counts."""
+    union = None
+    for place, (name, df) in enumerate(sources.items()):
+        part = df.select(key, F.struct(F.lit(place).alias("place"), F.lit(name).alias("provider"), F.struct(*[c for c in df.columns if c != key]).alias("row")).alias("answer"))
+        union = part if union is None else union.unionByName(part)
+    first = union.groupBy(key).agg(F.min("answer").alias("answer"))
+    asked = F.lit("no answer from " + ", ".join(sources))
+    return keys.join(first, key, "left").select(*keys.columns, "answer.provider", F.when(F.col("answer").isNull(), asked).alias("failure"), "answer.row.*")
+
+
+def isolated(payload: DataFrame, schema: str) -> DataFrame:
+    """Payloads ``value`` parsed one by one: what could not be read has a ``failure`` and no ``parsed``, and stops no other row."""
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = payload.withColumn("parsed", parsed)
+    bad = F.col("parsed").isNull() | F.col("parsed._bad").isNotNull()
+    return rows.withColumn("failure", F.when(bad, F.lit("unreadable payload"))).withColumn("parsed", F.when(~bad, F.col("parsed").dropFields("_bad")))
+
+
 def search_hits(payload: DataFrame) -> DataFrame:
     """Search answers ``value`` to form, accession and date of each hit, with the fallbacks of either key."""
     schema = "hits struct<hits:array<struct<_id:string,_source:struct<form:string,root_forms:array<string>,file_type:string,adsh:string,accession_no:string,file_date:string>>>>"

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.constants import MODULES, POSITIVES
 
 DISCLAIMER = "Research output, not investment advice."
+NOTE = "Scores rest on filings alone; whether a name can be traded is not assessed."
 
 
 def records(ranked: DataFrame) -> DataFrame:
-    """The flat export record of each name, ranked ones and excluded ones."""
+    """The flat export record of each name, ranked ones and gated ones; ``completeness`` is empty where no notes were taken."""
+    told = F.col("completeness") if "completeness" in ranked.columns else F.array().cast("array<string>")
     contributions = lambda names, prefix: F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.round(F.col(f"{prefix}_{n}"), 4) for n in names])), lambda k, v: v.isNotNull())
     return ranked.select(
         "ticker", F.round("composite", 4).alias("composite"), "sic_sector", "sector_rank", "sector_size", "gated", "gate_reasons", "penalty_flags", "na_modules", "suppressed",
-        F.size("suppressed").alias("suppressed_count"), (F.size("suppressed") == 0).alias("evidence_complete"),
+        F.size("suppressed").alias("suppressed_count"), (F.size("suppressed") == 0).alias("evidence_complete"), told.alias("completeness"),
         contributions(POSITIVES, "add").alias("positive_contributions"), contributions(MODULES, "sub").alias("penalty_contributions"),
+        F.array(F.lit(NOTE)).alias("notes"),
     )
 
 
@@ -51,9 +54,25 @@ def write_json(df: DataFrame, path: str) -> None:
     df.withColumn("_disclaimer", F.lit(DISCLAIMER)).write.mode("overwrite").json(path)
 
 
+def write_scan(ranked: DataFrame, excluded: DataFrame, path: str, **meta) -> bool:
+    """The whole scan, however many names a report shows: ``results`` and ``excluded`` as JSON lines, ``meta`` as one line.
+
+    Nothing is written, and the answer is false, when no name was scored.
+    """
+    if ranked.isEmpty():
+        return False
+    write_json(records(ranked), f"{path}/results")
+    write_json(excluded, f"{path}/excluded")
+    told = json.dumps({"_disclaimer": DISCLAIMER, **meta}, default=str)
+    ranked.sparkSession.range(1).select(F.lit(told).alias("value")).write.mode("overwrite").text(f"{path}/meta")
+    return True
+
+
 def payload(df: DataFrame, most: int = 100, **meta) -> str:
-    """A report as one JSON text for at most ``most`` names, the limit of a report."""
-    return json.dumps({"_disclaimer": DISCLAIMER, **meta, "results": [json.loads(r) for r in df.limit(most).toJSON().toLocalIterator()]}, indent=2)
+    """A report as one JSON text for at most ``most`` names, the limit of a report; ``truncated`` tells whether there are
+    more. ``write_scan`` writes them all."""
+    rows = [json.loads(r) for r in df.limit(most + 1).toJSON().toLocalIterator()]
+    return json.dumps({"_disclaimer": DISCLAIMER, **meta, "truncated": len(rows) > most, "results": rows[:most]}, indent=2)
 
 
 def markdown(df: DataFrame, most: int = 100) -> str:
