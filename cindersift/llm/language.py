@@ -22,9 +22,18 @@ MAX_FIT = 20_000
 LEAST_COUNT = 2
 LONGEST = 5
 UND = "und"
-#: Numeric characters that are no decimal digits and no letters, such as fractions, which ``\\w`` includes.
-NO_LETTERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NO_LETTERS}]+")
+#: Runs of letters, and of numeric characters that are no decimal digits, such as fractions.
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Words that are looked up and summed at once.
+CHUNK = 4096
+
+
+def letter_runs(text: str) -> list[str]:
+    """The longest runs of letters of ``text``; other numeric characters, which are rare, part them."""
+    found = LETTERS.findall(text)
+    if text.isascii() or "".join(found).isalpha():
+        return found
+    return [run for word in found for run in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,7 +43,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             if text:
-                counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                counts.setdefault(lang, Counter()).update(letter_runs(text.lower()))
         yield pd.DataFrame([(lang, w, n) for lang, c in counts.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
 
@@ -91,32 +100,45 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     return Model(rows)
 
 
-class _Scores(dict):
+class _Places(dict):
+    """The row of ``table`` that has a word's scores, for words met so far; forgotten between chunks if many."""
+
     def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = self.model.word(word)
-        return value
+        self.table = np.empty((CHUNK, len(model.langs)), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[at] = self.model.word(word)
+        self[word] = at
+        return at
+
+    def summed(self, words: list[str]) -> np.ndarray:
+        total = np.zeros(self.table.shape[1])
+        for k in range(0, len(words), CHUNK):
+            if len(self) >= self.most:
+                self.clear()
+            some = words[k : k + CHUNK]
+            places = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
+            total += self.table[places].sum(axis=0, dtype=np.float64)
+        return total
 
 
 def _predicted(sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
-        scores = _Scores(model)
+        places = _Places(model)
         for batch in batches:
             langs, sure = [], []
             for text in batch["text"]:
-                words = LETTERS.findall(text.lower()) if text else []
+                words = letter_runs(text.lower()) if text else []
                 if not words or not model.langs:
                     langs.append(UND)
                     sure.append(0.0)
                     continue
-                total = np.zeros(len(model.langs))
-                for k in range(0, len(words), 4096):
-                    total += np.array([scores[w] for w in words[k : k + 4096]]).sum(axis=0, dtype=np.float64)
+                total = places.summed(words)
                 best = int(total.argmax())
                 langs.append(model.langs[best])
                 sure.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
