@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, licenses, mixing, near_dup, passages, quality, secrets, toxicity
+from . import alignment, chat, decontaminate, language, licenses, mixing, near_dup, passages, pieces, quality, repeats, secrets, toxicity
 from .common import table
 
 
@@ -51,5 +51,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_repeated_passages, op3_mixing, op4_license_scan, op5_quality_rules, op6_order_minhash, op7_decontamination, op8_toxicity, op9_chat_format, op10_language_id)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_repeated_passages, op3_mixing, op4_license_scan, op5_quality_rules, op6_order_minhash, op7_decontamination, op8_toxicity, op9_chat_format, op10_language_id, op11_token_alignment, op12_sentencepiece, op13_periodic_runs)}
 ORACLE_SQL = {"op1_secret_scan": secrets.oracle(), "op3_mixing": mixing.oracle(), "op9_chat_format": chat.ORACLE}
