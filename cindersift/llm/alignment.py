@@ -9,9 +9,12 @@ document is summed by document.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +30,13 @@ SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STREAM = 50_000
 #: Characters encoded at once in a task.
 AT_ONCE = 1_000_000
+#: Words remembered by a worker.
+REMEMBERED = 400_000
+#: Texts that are cut into words here: printable ASCII, tab and line ends, Latin letters and signs up to U+024F, dashes and quotes.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027]*")
+_LETTER, _NUMBER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: Fixed value: the words of byte-level vocabularies, for these texts.
+PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
 MARK = "▁"
 
 
@@ -37,29 +47,58 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class ByteBPE:
+    """Side A. Texts of letters whose kind no edition of Unicode moves are cut into words here and a word is encoded
+    once; others go to the library whole. Either way the library encodes."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        cut = told["pre_tokenizer"] or {}
+        self.by_words = told["normalizer"] is None and {k: cut.get(k) for k in ("type", "add_prefix_space", "use_regex")} in [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": u} for u in (True, None)]
+        letters = byte_of_letter()
+        self.spelled = [bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode() for entry in map(self.library.id_to_token, range(self.library.get_vocab_size()))]
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        known = self.known
+        cut = [PLAIN_WORD.findall(t) if self.by_words and PLAIN.fullmatch(t) else None for t in texts]
+        new = {w for words in cut if words for w in words}.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = {w for words in cut if words for w in words}
+        ask = list(new)
+        known.update(zip(ask, (e.ids for e in self.library.encode_batch_fast(ask, add_special_tokens=False)), strict=True))
+        whole = iter(self.library.encode_batch_fast([t for t, words in zip(texts, cut, strict=True) if words is None], add_special_tokens=False))
+        return [next(whole).ids if words is None else list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+
+
 @lru_cache(2)
 def sides(path_a: str, path_b: str):
-    """Both tokenizers and, for each, the bytes of every id and their numbers."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    a = Tokenizer.from_file(path_a)
-    a.encode_special_tokens = True
-    b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-    letters = byte_of_letter()
-    spelled_a = [bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode() for entry in map(a.id_to_token, range(a.get_vocab_size()))]
+    """Both tokenizers and, for each, the bytes of every id and their numbers; and the ids as texts with what may come
+    after them in a group: a comma, a bar or a semicolon."""
+    a, b = ByteBPE(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
     spelled_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(MARK, " ").encode() for i in range(b.get_piece_size())]
-    return a, b, (spelled_a, np.array([*map(len, spelled_a)], np.int64)), (spelled_b, np.array([*map(len, spelled_b)], np.int64))
+    most = max(len(a.spelled), len(spelled_b))
+    named = [f"{i}{mark}" for mark in ",|;" for i in range(most)]
+    return a, b, (a.spelled, np.array([*map(len, a.spelled)], np.int64)), (spelled_b, np.array([*map(len, spelled_b)], np.int64)), named
 
 
-def grouped(a: list[int], b: list[int], at_a: np.ndarray, at_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids of both sides between the places where both end."""
-    names_a, names_b = list(map(str, a)), list(map(str, b))
-    out, i, j = [], 0, 0
-    for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-        out.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
-        i, j = x, y
-    return ";".join(out)
+def grouped(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, named: list[str]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: ids of both sides between the places where both end, ``at_a`` and ``at_b``."""
+    most, put = len(named) // 3, np.empty(len(a) + len(b), np.int64)
+    size_a, size_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+    marked_a, marked_b = a.copy(), b.copy()
+    marked_a[at_a] += most
+    marked_b[at_b] += 2 * most
+    put[np.arange(len(a)) + np.repeat(at_b + 1 - size_b, size_a)] = marked_a
+    put[np.arange(len(b)) + np.repeat(at_a + 1, size_b)] = marked_b
+    return "".join(map(named.__getitem__, put.tolist()))[:-1]
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -80,14 +119,14 @@ PAIR = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())])
 
 def _aligned(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, (spelled_a, size_a), (spelled_b, size_b) = sides(path_a, path_b)
+        left, right, (spelled_a, size_a), (spelled_b, size_b), named = sides(path_a, path_b)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for begin, end in slices(texts):
                 counts, groups, ends, linked = [], [], [0], [[], [], []]
                 said = [f" {t}" if t else "" for t in texts[begin:end]]
-                for text, of_a, b in zip(said, left.encode_batch_fast(said, add_special_tokens=False), right.encode([t[1:] for t in said], num_threads=1), strict=True):
-                    a, raw = of_a.ids, text.encode()
+                for text, a, b in zip(said, left.encode(said), right.encode([t[1:] for t in said], num_threads=1), strict=True):
+                    raw = text.encode()
                     if not text or b"".join([spelled_a[i] for i in a]) != raw or b"".join([spelled_b[i] for i in b]) != raw:
                         counts.append((0, 0, 0))
                         groups.append("")
@@ -99,7 +138,7 @@ def _aligned(path_a: str, path_b: str):
                     for column, values in zip(linked, (pairs >> 32, pairs & 0xFFFFFFFF, times), strict=True):
                         column.append(values.astype(np.int32))
                     counts.append((len(a), len(b), len(at_a)))
-                    groups.append(grouped(a, b, at_a, at_b))
+                    groups.append(grouped(ids_a, ids_b, at_a, at_b, named))
                     ends.append(ends[-1] + len(pairs))
                 flat = [pa.array(np.concatenate(c) if c else [], pa.int32()) for c in linked]
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(PAIR)))
