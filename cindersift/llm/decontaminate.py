@@ -40,30 +40,31 @@ BREAK = 9
 
 class Words(dict):
     """Numbers of raw words, and by number the hash of the literal form, the kind, whether it ends a sentence and
-    whether it is shouted; remembered within bounds."""
+    whether it is shouted; remembered within bounds. A new word is added to the arrays, which are never made anew but
+    when they are full."""
 
     def __init__(self, most: int = 300_000):
         self.most = most
-        self.clear()
+        self._make(most)
 
-    def clear(self) -> None:
-        super().clear()
-        self.rows, self.table = [], None
+    def _make(self, size: int) -> None:
+        self.table = tuple(np.empty(size, t) for t in (np.uint64, np.int8, bool, bool))
 
     def __missing__(self, raw: str) -> int:
         core = EDGES.sub("", raw) or raw
         low = core.lower()
         kind = BREAK if raw == "\n" else 1 if NUMBER.fullmatch(core) else 3 if low in UNITS else 2 if core[:1].isupper() else 0
-        self[raw] = value = len(self.rows)
-        self.rows.append((xxhash.xxh64_intdigest(low), kind, raw[-1] in ".!?:;|\n", len(low) > 3 and raw.isupper()))
-        return value
+        self[raw] = at = len(self)
+        for column, value in zip(self.table, (xxhash.xxh64_intdigest(low), kind, raw[-1] in ".!?:;|\n", len(low) > 3 and raw.isupper()), strict=True):
+            column[at] = value
+        return at
 
     def of(self, found: list[str]) -> tuple[np.ndarray, ...]:
         if len(self) + len(found) > self.most:
             self.clear()
+            if len(found) > len(self.table[0]):
+                self._make(len(found))
         at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        if self.table is None or len(self.table[0]) < len(self.rows):
-            self.table = tuple(np.array([r[c] for r in self.rows], t) for c, t in enumerate((np.uint64, np.int8, bool, bool)))
         return tuple(t[at] for t in self.table)
 
 
