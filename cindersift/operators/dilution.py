@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import NT_FORMS, SHELF_FORMS, TOXIC_PHRASES
 from ..functions.expr import iso_date, listed, ratio, recent, severity
+from .asof import nearest
 
 SPLIT_LEAST, SPLIT_MOST = 1.8, 250.0
 SPIRAL = 0.20
@@ -25,9 +26,8 @@ def year_before(text: Column) -> Column:
 def year_ago(points: DataFrame) -> DataFrame:
     """The share count nearest to one year before each company's latest, within 45 days: cik, year_ago."""
     last = points.groupBy("cik").agg(F.max("period_end").alias("latest")).withColumn("target", year_before(F.col("latest")))
-    near = points.join(last, "cik").withColumn("diff", F.abs(F.datediff(iso_date(F.col("period_end")), F.col("target"))))
-    best = near.where("diff IS NOT NULL").groupBy("cik").agg(F.min(F.struct("diff", "period_end", "shares")).alias("b"))
-    return best.where("b.diff <= 45").select("cik", F.col("b.shares").alias("year_ago"))
+    near = nearest(last.drop("latest"), points, ["cik"], F.col("target"), iso_date(F.col("period_end")), 45, 45, [F.col("period_end"), F.col("shares")], ["shares"])
+    return near.where("delta IS NOT NULL").select("cik", F.col("shares").alias("year_ago"))
 
 
 def velocity(points: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def utilization(shelf: Column, drawn: Column) -> dict[str, Column]:
 
 def toxic_terms(text: Column) -> Column:
     """The phrases of toxic financing that a text has, in the order of the list."""
-    return F.filter(F.array(*[F.lit(p) for p in TOXIC_PHRASES]), lambda p: F.contains(F.lower(text), p))
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in TOXIC_PHRASES]))
 
 
 def headroom(authorized: Column, outstanding: Column) -> dict[str, Column]:

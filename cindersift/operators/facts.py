@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import DURATIONS, SHARE_SERIES, TAGS
 from ..functions.expr import iso_date, sum_present
+from .asof import nearest
 
 
 def span_days() -> Column:
@@ -81,6 +82,36 @@ def period_table(facts: DataFrame, ends: DataFrame, concepts: dict[str, list[str
     return out
 
 
+def periods(facts: DataFrame, newest: int | None = None) -> DataFrame:
+    """All line items of each fiscal year: cik, end, rank (1 is the newest), a column for each concept, the derived
+    liabilities and debt, shares_outstanding and financials_filed; the ``newest`` years of a company, or all.
+
+    The facts are read once. They are reduced to the best of each company, end and concept in the tasks that read
+    them, which also tells whether the end is that of a fiscal year, so what moves does not grow with amendments and
+    repeats. The items of an end are one map from concept to value then; shares come from an as-of lookup.
+    """
+    names = [c for c in TAGS if c != "shares"]
+    annual = (F.col("taxonomy") == "us-gaap") & (F.col("fp") == "FY") & F.col("form").startswith("10-K") & (F.col("end") != "") & ~ends_after_filing()
+    year = (span_days().between(350, 380) & span_days().isNotNull()) | ((F.col("fp") == "FY") & F.col("form").startswith("10-K"))
+    dictionary = F.broadcast(tag_table(facts.sparkSession, {c: TAGS[c] for c in names}))
+    rows = facts.where("val IS NOT NULL").join(dictionary, ["taxonomy", "tag", "unit"], "left").withColumn("marks", F.coalesce(annual, F.lit(False)))
+    fits = F.when(F.col("concept").isin(DURATIONS), ~is_instant() & F.coalesce(year, F.lit(False))).otherwise(is_instant()) & F.col("concept").isNotNull()
+    best = F.max(F.when(fits, F.struct((-F.col("prio")).alias("p"), F.coalesce("filed", F.lit("")).alias("filed"), (-F.col("row_pos")).alias("r"), F.col("val").alias("val"))))
+    chosen = rows.where("marks OR concept IS NOT NULL").groupBy("cik", "end", "concept").agg(best.alias("b"), F.bool_or("marks").alias("marks"))
+    item = F.when(F.col("b").isNotNull(), F.struct("concept", F.struct("b.val", "b.filed").alias("of")))
+    years = chosen.repartition("cik").groupBy("cik", "end").agg(F.bool_or("marks").alias("marks"), F.map_from_entries(F.collect_list(item)).alias("items")).where("marks")
+    ranked = years.withColumn("rank", F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("end"))))
+    if newest is not None:
+        ranked = ranked.where(F.col("rank") <= newest)
+    value = lambda c, what="val": F.try_element_at("items", F.lit(c))[what]
+    legs = ["balance_sheet_total", "total_equity", "minority_interest", "temporary_equity"]
+    read = [value(c, "filed") for c in names if c not in (*legs, "current_debt")] + [F.when(value("combined_debt").isNull(), value("current_debt", "filed"))]
+    out = ranked.select("cik", "end", F.col("rank").cast("long").alias("rank"), *[value(c).alias(c) for c in names], F.nullif(F.greatest(*read), F.lit("")).alias("financials_filed"))
+    out = out.withColumn("total_liabilities", derived_liabilities()).withColumn("total_debt", F.coalesce("combined_debt", sum_present(F.col("long_term_debt"), F.col("current_debt"))))
+    shares = shares_as_of(facts, out).withColumnRenamed("shares", "shares_outstanding")
+    return out.join(shares, ["cik", "end"], "left")
+
+
 def derived_liabilities() -> Column:
     """Reported liabilities, else balance sheet total less equity and temporary equity."""
     equity = F.coalesce(F.col("total_equity"), F.col("book_equity") + F.coalesce(F.col("minority_interest"), F.lit(0.0)))
@@ -107,13 +138,12 @@ def annual_series(facts: DataFrame, concept: str = "revenue") -> DataFrame:
 def shares_as_of(facts: DataFrame, ends: DataFrame) -> DataFrame:
     """Share count nearest to each end, from 45 days before to 180 after, by the first tag that has one: cik, end, shares.
 
-    The join is on the company; the range is a residual predicate, as a company has a few dozen such rows.
+    Every end is asked once for each tag; one sort by company, tag and day answers all, however many counts a company has.
     """
-    rows = tagged(facts, {"shares": TAGS["shares"]}).select("cik", F.col("end").alias("at"), "filed", "row_pos", "val", "prio")
-    delta = F.datediff(iso_date(F.col("at")), iso_date(F.col("end")))
-    near = ends.select("cik", "end").join(rows, "cik").withColumn("delta", delta).where("delta BETWEEN -45 AND 180")
-    best = F.min(F.struct("prio", F.abs("delta").alias("d"), F.coalesce("filed", F.lit("")).alias("filed"), "row_pos", "val"))
-    return near.groupBy("cik", "end").agg(best.alias("b")).select("cik", "end", F.col("b.val").alias("shares"))
+    rows = tagged(facts, {"shares": TAGS["shares"]}).select("cik", "prio", F.col("end").alias("at"), "filed", "row_pos", "val")
+    asked = ends.select("cik", "end", F.explode(F.array(*[F.lit(k) for k in range(len(TAGS["shares"]))])).alias("prio"))
+    near = nearest(asked, rows, ["cik", "prio"], iso_date(F.col("end")), iso_date(F.col("at")), 45, 180, [F.coalesce("filed", F.lit("")), F.col("row_pos")], ["val"])
+    return near.where("delta IS NOT NULL").groupBy("cik", "end").agg(F.min(F.struct("prio", "val")).alias("b")).select("cik", "end", F.col("b.val").alias("shares"))
 
 
 def share_series(facts: DataFrame) -> DataFrame:

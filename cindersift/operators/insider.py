@@ -12,19 +12,22 @@ EXCLUDED = ["A", "M", "F", "G", "C", "J", "D"]
 LARGE = 500_000.0
 
 
-def profile(transactions: DataFrame, notices: DataFrame | None = None) -> DataFrame:
+def profile(transactions: DataFrame, notices: DataFrame | None = None, times: str | None = None) -> DataFrame:
     """One row per company: buyers, values bought and sold by kind, signal, confidence, conviction.
 
     ``transactions``: cik, insider, code, value, is_10b5_1, preceded_by_exercise. ``notices``: cik and n_144.
-    A sale under a plan is that first, whatever else it is.
+    A sale under a plan is that first, whatever else it is. A row stands for as many transactions as its column
+    ``times`` says, if that is named, and its value for all of theirs.
     """
+    each = F.col(times) if times else F.lit(1)
+    n = lambda test: F.coalesce(F.sum(F.when(test, each)), F.lit(0)).cast("long")
     plan, linked = F.coalesce("is_10b5_1", F.lit(False)), F.coalesce("preceded_by_exercise", F.lit(False))
     sold = F.col("code") == "S"
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("value"))), F.lit(0.0))
     out = transactions.groupBy("cik").agg(
-        F.count_distinct(F.when(F.col("code") == "P", F.col("insider"))).alias("buyers"), F.count_if(F.col("code") == "P").alias("n_buys"), total(F.col("code") == "P").alias("bought"),
-        total(sold & ~plan & ~linked).alias("sold_freely"), F.count_if(sold & ~plan & ~linked).alias("n_free"), total(sold & plan).alias("sold_by_plan"), total(sold & linked & ~plan).alias("sold_after_exercise"),
-        F.count_if(F.col("code").isin(EXCLUDED)).alias("n_excluded"),
+        F.count_distinct(F.when(F.col("code") == "P", F.col("insider"))).alias("buyers"), n(F.col("code") == "P").alias("n_buys"), total(F.col("code") == "P").alias("bought"),
+        total(sold & ~plan & ~linked).alias("sold_freely"), n(sold & ~plan & ~linked).alias("n_free"), total(sold & plan).alias("sold_by_plan"), total(sold & linked & ~plan).alias("sold_after_exercise"),
+        n(F.col("code").isin(EXCLUDED)).alias("n_excluded"),
     )
     out = out.join(notices, "cik", "full") if notices is not None else out.withColumn("n_144", F.lit(0).cast("long"))
     out = out.na.fill(0)

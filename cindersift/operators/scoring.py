@@ -7,14 +7,14 @@ penalty that ran and found nothing is 0, one that never ran is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.constants import CONFIDENCE, CRITICAL, GATE_REASONS, LADDER_SEVERITY, MODULES, POSITIVES, PRESETS, PROFILES, TIER_SEVERITY
 from ..functions.expr import absent, listed
 from .insider import sub_score
-from .ordering import global_rank
+from .ordering import global_rank, group_sizes, percentile  # noqa: F401
 
 
 def _scale(table: dict[str, float], key: Column) -> Column:
@@ -116,12 +116,12 @@ def rank(scored: DataFrame) -> DataFrame:
     """Global rank within ranked and gated names, and the rank and size within sectors of ranked ones.
 
     Ranking all names needs one order of all of them: a range-partitioned sort gives each partition's rows
-    in order, and the ranks of the partitions before are added, so no task holds them all.
+    in order, and the ranks of the partitions before are added, so no task holds them all, nor all of a sector.
     """
-    placed = global_rank(scored, "gated", [F.desc("composite"), F.asc("ticker")])
-    sector = Window.partitionBy("gated", "sic_sector")
+    order, sector = [F.desc("composite"), F.asc("ticker")], ["gated", "sic_sector"]
+    placed = group_sizes(global_rank(global_rank(scored, "gated", order), sector, order, "sector_rank"), sector, "sector_size")
     ranked = ~F.col("gated")
-    return placed.withColumn("sector_rank", F.when(ranked, F.row_number().over(sector.orderBy(F.desc("composite"), "ticker")))).withColumn("sector_size", F.when(ranked, F.count(F.lit(1)).over(sector)))
+    return placed.withColumns({c: F.when(ranked, F.col(c)) for c in ("sector_rank", "sector_size")})
 
 
 def sort_key(by: str) -> Column:
@@ -140,10 +140,3 @@ def glyph() -> Column:
     names = F.array_join("penalty_flags", ", ")
     critical = F.arrays_overlap("penalty_flags", F.array(*[F.lit(c) for c in CRITICAL]))
     return F.when(F.col("gated"), F.concat(F.lit("[X] excluded: "), F.array_join("gate_reasons", "; "))).when(critical, F.concat(F.lit("[X] "), names, unchecked)).when(F.size("penalty_flags") > 0, F.concat(F.lit("[!] "), names, unchecked)).otherwise(F.concat(F.lit("-"), unchecked))
-
-
-def percentile(df: DataFrame, value: str, by: list[str], out: str = "pct") -> DataFrame:
-    """Average-tie percentile rank of a value within groups; null values have none and do not count."""
-    group, same = Window.partitionBy(*by), Window.partitionBy(*by, value)
-    rank_ = F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) + (F.count(F.lit(1)).over(same) - 1) / 2.0
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), rank_ / F.count(value).over(group)))

@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import ITEMS, PROBES, TAGS, TOXIC_PHRASES
+from ..functions.constants import DURATIONS, ITEMS, PROBES, TAGS, TOXIC_PHRASES
 
 AS_OF_EVENTS = "2024-01-31"
 AS_OF = "2001-12-31"
-#: Concepts of the derived table of facts and the column that each takes its value from.
+#: Values of the line items as facts, in SQL over the columns of ``fund``.
+FACT_VALUES = {c: {"shares": "shares_outstanding", "combined_debt": "total_debt", "current_debt": "CASE WHEN cik % 3 <> 0 THEN cash END", "balance_sheet_total": "total_assets", "total_equity": "CASE WHEN cik % 3 <> 0 THEN book_equity END", "minority_interest": "CASE WHEN cik % 2 = 0 THEN cash END", "temporary_equity": "CASE WHEN cik % 5 = 0 THEN inventory END"}.get(c, c) for c in TAGS}
+#: Concepts of the smaller table of facts and the column that each takes its value from.
 FACT_CONCEPTS = {"revenue": "revenue", "net_income": "net_income", "total_assets": "total_assets", "cash": "cash", "long_term_debt": "long_term_debt", "shares": "shares_outstanding"}
 
 
@@ -32,11 +34,38 @@ def company(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("s_suppkey").alias("cik"), F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("ticker"), F.col("s_name").alias("name"), (1000 + 250 * F.col("s_nationkey")).cast("int").alias("sic"), F.col("r_name").alias("sic_sector"), ((F.col("s_suppkey") % 40) / F.lit(20.0)).alias("price"))
 
 
-def fund(spark: SparkSession, sf: str) -> DataFrame:
-    """A fiscal year per supplier and ship year: cik, fy, end and the line items of the models."""
-    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cik"), F.year("l_shipdate").alias("fy"), cents("l_extendedprice").alias("p"), cents("l_discount").alias("d"), "l_returnflag", "l_linestatus")
+#: Kinds of transactions that a supplier's lines stand for: code, insider, under a plan, after an exercise.
+KINDS = [("P", k, None, None) for k in range(7)] + [("S", None, plan, linked) for plan in (True, False) for linked in (True, False)] + [(c, None, None, None) for c in "AMFGX"]
+
+
+def activity(spark: SparkSession, sf: str) -> DataFrame:
+    """What fiscal years and insider transactions are made from, in one reading of ``lineitem`` and one aggregation:
+    sums by supplier and year, and the value and number of each kind of transaction."""
+    code = F.element_at(F.array(*[F.lit(c) for c in "PSAMFGX"]), F.col("l_linenumber"))
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cik"), F.year("l_shipdate").alias("fy"), (F.col("l_partkey") % 7).alias("insider"), code.alias("code"), "l_returnflag", "l_linestatus", cents("l_extendedprice").alias("p"), cents("l_discount").alias("d"))
+    kinds = []
+    for n, (letter, insider, plan, linked) in enumerate(KINDS):
+        test = F.col("code") == letter
+        if insider is not None:
+            test = test & (F.col("insider") == insider)
+        if plan is not None:
+            test = test & ((F.col("l_returnflag") == "R") == plan) & ((F.col("l_linestatus") == "O") == linked)
+        kinds += [F.sum(F.when(test, F.col("p"))).alias(f"v{n}"), F.count_if(test).alias(f"n{n}")]
+    return li.groupBy("cik", "fy").agg(*_year_sums(F.col("p") * F.col("d"), F.lit(1)), *kinds)
+
+
+def _year_sums(pd: Column, times: Column) -> list[Column]:
     part = lambda test: F.coalesce(F.sum(F.when(test, F.col("p"))), F.lit(0))
-    a = li.groupBy("cik", "fy").agg(F.sum("p").alias("g"), F.sum(F.col("p") * F.col("d")).alias("dd"), part(F.col("l_returnflag") == "A").alias("ga"), part(F.col("l_returnflag") == "N").alias("gn"), part(F.col("l_returnflag") == "R").alias("gr"), part(F.col("l_linestatus") == "O").alias("go"), F.count(F.lit(1)).alias("n"))
+    return [F.sum("p").alias("g"), F.sum(pd).alias("dd"), part(F.col("l_returnflag") == "A").alias("ga"), part(F.col("l_returnflag") == "N").alias("gn"), part(F.col("l_returnflag") == "R").alias("gr"), part(F.col("l_linestatus") == "O").alias("go"), F.sum(times).alias("n")]
+
+
+def fund(spark: SparkSession, sf: str, sums: DataFrame | None = None) -> DataFrame:
+    """A fiscal year per supplier and ship year: cik, fy, end and the line items of the models; from ``lineitem``, or
+    from its ``activity`` where that is at hand."""
+    if sums is None:
+        li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cik"), F.year("l_shipdate").alias("fy"), cents("l_extendedprice").alias("p"), cents("l_discount").alias("d"), "l_returnflag", "l_linestatus")
+        sums = li.groupBy("cik", "fy").agg(*_year_sums(F.col("p") * F.col("d"), F.lit(1)))
+    a = sums
     g, ga, gn, gr, go, s = (F.col(c) for c in ("g", "ga", "gn", "gr", "go", "cik"))
     a = a.withColumns({"rev": 100 * g - F.col("dd"), "cg": 55 * g + 20 * ga, "sg": 12 * g + 5 * gr, "dp": 6 * gn})
     a = a.withColumn("eb", F.col("rev") - F.col("cg") - F.col("sg") - F.col("dp") - 5 * g * (s % 10)).withColumn("ta", 100 * g * (1 + s % 3)).withColumn("tl", g * (1 + s % 3) * F.when(s % 29 == 0, 2).otherwise(10 + 13 * s % 85))
@@ -61,27 +90,33 @@ def paired(periods: DataFrame) -> DataFrame:
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Tagged facts of six concepts with alternates, amendments, ties, forecasts and quarters."""
-    base = fund(spark, sf).select("cik", "fy", *FACT_CONCEPTS.values())
-    every = []
-    s, fy = F.col("cik"), F.col("fy")
+    return filed_facts(fund(spark, sf), FACT_CONCEPTS)
+
+
+def filed_facts(years: DataFrame, values: dict[str, str], apart: bool = False) -> DataFrame:
+    """Tagged facts of the concepts of ``values``, whose values are in SQL over ``years``; ``apart`` gives each concept
+    places of its own, which concepts that share a tag need."""
+    about = [(c, k, TAGS[c], c in DURATIONS, "shares" if c == "shares" else "USD") for k, c in enumerate(values)]
+    known = years.sparkSession.createDataFrame(about, "concept string, k int, tags array<string>, lasting boolean, unit string")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("concept"), F.expr(v).alias("v")) for c, v in values.items()]))
+    base = years.select("cik", "fy", each.alias("x")).select("cik", "fy", "x.*").join(F.broadcast(known), "concept")
+    s, fy, v, lasting = F.col("cik"), F.col("fy"), F.col("v"), F.col("lasting")
     text = lambda year, rest: F.concat(year.cast("string"), F.lit(rest))
     end, filed = text(fy, "-12-31"), text(fy + 1, "-03-01")
-    for concept, column in FACT_CONCEPTS.items():
-        tags, lasting, v = TAGS[concept], concept in ("revenue", "net_income"), F.col(column)
-        unit = F.lit("shares" if concept == "shares" else "USD").alias("unit")
-        nth = lambda k, tags=tags: F.element_at(F.array(*[F.lit(t) for t in tags]), ((s + k) % len(tags) + 1).cast("int"))
-        year_start = text(fy, "-01-01") if lasting else F.lit(None).cast("string")
-        row = lambda kind, tag, start, end, val, fp, form, filed, unit=unit: F.struct(tag.alias("tag"), unit, start.alias("start"), end.alias("end"), val.alias("val"), F.lit(fp).alias("fp"), F.lit(form).alias("form"), filed.alias("filed"), (fy * 10 + kind).alias("row_pos"))
-        every += [
-            row(0, nth(0), year_start, end, v, "FY", "10-K", filed),
-            F.when(s % 4 == 1, row(1, nth(0), year_start, end, v + 1, "FY", "10-K/A", text(fy + 1, "-06-01"))),
-            F.when(s % 4 == 2, row(2, nth(0), year_start, end, v + 2, "FY", "10-K", filed)),
-            F.when(s % 3 == 0, row(3, nth(1), year_start, end, v * 2, "FY", "10-K", filed)),
-            F.when(s % 5 == 0, row(4, nth(0), year_start, text(fy + 2, "-12-31"), F.lit(1.0), "FY", "10-K", filed)),
-            F.when(s % 6 == 0, row(5, nth(0), text(fy, "-10-01") if lasting else year_start, end, v / 4, "Q4", "10-Q", filed)),
-        ]
+    nth = lambda k: F.element_at("tags", ((s + k) % F.size("tags") + 1).cast("int"))
+    place = lambda kind: (fy * 10 + kind) * 100 + F.col("k") if apart else fy * 10 + kind
+    row = lambda kind, tag, start, end, val, fp, form, filed: F.struct(tag.alias("tag"), start.alias("start"), end.alias("end"), val.alias("val"), F.lit(fp).alias("fp"), F.lit(form).alias("form"), filed.alias("filed"), place(kind).alias("row_pos"))
+    year_start, quarter_start = F.when(lasting, text(fy, "-01-01")), F.when(lasting, text(fy, "-10-01"))
+    every = [
+        row(0, nth(0), year_start, end, v, "FY", "10-K", filed),
+        F.when(s % 4 == 1, row(1, nth(0), year_start, end, v + 1, "FY", "10-K/A", text(fy + 1, "-06-01"))),
+        F.when(s % 4 == 2, row(2, nth(0), year_start, end, v + 2, "FY", "10-K", filed)),
+        F.when(s % 3 == 0, row(3, nth(1), year_start, end, v * 2, "FY", "10-K", filed)),
+        F.when(s % 5 == 0, row(4, nth(0), year_start, text(fy + 2, "-12-31"), F.lit(1.0), "FY", "10-K", filed)),
+        F.when(s % 6 == 0, row(5, nth(0), quarter_start, end, v / 4, "Q4", "10-Q", filed)),
+    ]
     dei = F.col("tag").startswith("dei:")
-    out = base.select("cik", F.explode(F.array_compact(F.array(*every))).alias("r")).select("cik", "r.*")
+    out = base.select("cik", "unit", F.explode(F.array_compact(F.array(*every))).alias("r")).select("cik", "unit", "r.*")
     out = out.select("cik", F.when(dei, "dei").otherwise("us-gaap").alias("taxonomy"), F.regexp_replace("tag", "^dei:", "").alias("tag"), "unit", "row_pos", "start", "end", "val", "fp", "form", "filed", F.concat_ws("-", "cik", "row_pos").alias("accn"))
     return out.where("val IS NOT NULL")
 
@@ -109,6 +144,12 @@ def share_points(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("cik", F.date_format("e", "yyyy-MM-dd").alias("period_end"), shares.cast("double").alias("shares"))
 
 
+def summed_transactions(sums: DataFrame) -> DataFrame:
+    """The transactions of ``activity``: a row for those alike of a year, with how many they are in ``times``."""
+    rows = [F.when(F.col(f"n{n}") > 0, F.struct(F.lit(insider).cast("long").alias("insider"), F.lit(code).alias("code"), F.col(f"v{n}").cast("double").alias("value"), F.lit(plan).cast("boolean").alias("is_10b5_1"), F.lit(linked).cast("boolean").alias("preceded_by_exercise"), F.col(f"n{n}").alias("times"))) for n, (code, insider, plan, linked) in enumerate(KINDS)]
+    return sums.select("cik", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("cik", "r.*")
+
+
 def transactions(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     code = F.element_at(F.array(*[F.lit(c) for c in "PSAMFGX"]), F.col("l_linenumber"))
@@ -122,7 +163,12 @@ def fails(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suspension_rows(spark: SparkSession, sf: str) -> DataFrame:
-    s = company(spark, sf).where("cik % 12 = 0")
+    return suspended(company(spark, sf))
+
+
+def suspended(companies: DataFrame) -> DataFrame:
+    """Suspensions of every twelfth company: company, date."""
+    s = companies.where("cik % 12 = 0")
     return s.select(F.concat("name", F.lit(", Inc.")).alias("company"), F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), (F.col("cik") % 400).cast("int")), "yyyy-MM-dd").alias("date"))
 
 

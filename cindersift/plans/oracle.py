@@ -178,18 +178,19 @@ ORACLE["model_ratios"] = pair(f"{r6(gm('t'))} AS gross_margin, {r6(noa('t'))} AS
 # ---- facts ------------------------------------------------------------------
 
 
-def _facts() -> str:
+def _facts(values: dict[str, str], apart: bool = False) -> str:
     parts = []
-    for concept, column in (("revenue", "revenue"), ("net_income", "net_income"), ("total_assets", "total_assets"), ("cash", "cash"), ("long_term_debt", "long_term_debt"), ("shares", "shares_outstanding")):
+    for k, (concept, column) in enumerate(values.items()):
+        place = f"* 100 + {k}" if apart else ""
         tags, n = lst(TAGS[concept]), len(TAGS[concept])
-        start = "fy || '-01-01'" if concept in ("revenue", "net_income") else "NULL::VARCHAR"
-        late = "fy || '-10-01'" if concept in ("revenue", "net_income") else "NULL::VARCHAR"
-        row = lambda kind, k, start, end, val, fp, form, filed, test: f"SELECT {q(concept)} AS concept, cik, {tags}[(cik + {k}) % {n} + 1] AS tag0, {start} AS start, {end} AS \"end\", {val} AS val, {q(fp)} AS fp, {q(form)} AS form, {filed} AS filed, fy * 10 + {kind} AS row_pos FROM f WHERE {test}"  # noqa: E731, B023
+        start = "fy || '-01-01'" if concept in DURATIONS else "NULL::VARCHAR"
+        late = "fy || '-10-01'" if concept in DURATIONS else "NULL::VARCHAR"
+        row = lambda kind, k, start, end, val, fp, form, filed, test: f"SELECT {q(concept)} AS concept, cik, {tags}[(cik + {k}) % {n} + 1] AS tag0, {start} AS start, {end} AS \"end\", {val} AS val, {q(fp)} AS fp, {q(form)} AS form, {filed} AS filed, (fy * 10 + {kind}) {place} AS row_pos FROM f WHERE {test}"  # noqa: E731, B023
         fy_end, filed = "fy || '-12-31'", "(fy + 1) || '-03-01'"
         parts += [
-            row(0, 0, start, fy_end, column, "FY", "10-K", filed, "true"), row(1, 0, start, fy_end, f"{column} + 1", "FY", "10-K/A", "(fy + 1) || '-06-01'", "cik % 4 = 1"),
-            row(2, 0, start, fy_end, f"{column} + 2", "FY", "10-K", filed, "cik % 4 = 2"), row(3, 1, start, fy_end, f"{column} * 2", "FY", "10-K", filed, "cik % 3 = 0"),
-            row(4, 0, start, "(fy + 2) || '-12-31'", "1.0", "FY", "10-K", filed, "cik % 5 = 0"), row(5, 0, late, fy_end, f"{column} / 4", "Q4", "10-Q", filed, "cik % 6 = 0"),
+            row(0, 0, start, fy_end, column, "FY", "10-K", filed, "true"), row(1, 0, start, fy_end, f"({column}) + 1", "FY", "10-K/A", "(fy + 1) || '-06-01'", "cik % 4 = 1"),
+            row(2, 0, start, fy_end, f"({column}) + 2", "FY", "10-K", filed, "cik % 4 = 2"), row(3, 1, start, fy_end, f"({column}) * 2", "FY", "10-K", filed, "cik % 3 = 0"),
+            row(4, 0, start, "(fy + 2) || '-12-31'", "1.0", "FY", "10-K", filed, "cik % 5 = 0"), row(5, 0, late, fy_end, f"({column}) / 4", "Q4", "10-Q", filed, "cik % 6 = 0"),
         ]
     tags = ", ".join(f"({q(c)}, {q(t)}, {i})" for c, ts in TAGS.items() for i, t in enumerate(ts))
     return (
@@ -200,16 +201,39 @@ def _facts() -> str:
     )
 
 
-FACTS = _facts()
+FACTS = _facts({"revenue": "revenue", "net_income": "net_income", "total_assets": "total_assets", "cash": "cash", "long_term_debt": "long_term_debt", "shares": "shares_outstanding"})
+FACT_VALUES = {
+    **{c: c for c in TAGS}, "shares": "shares_outstanding", "combined_debt": "total_debt", "current_debt": "CASE WHEN cik % 3 <> 0 THEN cash END", "balance_sheet_total": "total_assets",
+    "total_equity": "CASE WHEN cik % 3 <> 0 THEN book_equity END", "minority_interest": "CASE WHEN cik % 2 = 0 THEN cash END", "temporary_equity": "CASE WHEN cik % 5 = 0 THEN inventory END",
+}
 SPAN = "date_diff('day', start::DATE, \"end\"::DATE)"
 ANNUAL = f"CASE WHEN start IS NOT NULL THEN {SPAN} BETWEEN 350 AND 380 ELSE fp = 'FY' OR form = '10-K' END"
 _concepts = ["revenue", "net_income", "total_assets", "cash", "long_term_debt", "shares"]
-AT_ENDS = f"""at_ends AS (SELECT cik, "end", field AS concept, val, filed FROM tagged JOIN ends USING (cik, "end") WHERE field IN {qs(_concepts)} AND
+
+
+def at_ends(concepts: list[str]) -> str:
+    return f"""at_ends AS (SELECT cik, "end", field AS concept, val, filed FROM tagged JOIN ends USING (cik, "end") WHERE field IN {qs(concepts)} AND
   CASE WHEN field IN {qs(DURATIONS)} THEN start IS NOT NULL AND ({SPAN} BETWEEN 350 AND 380 OR (fp = 'FY' AND starts_with(form, '10-K'))) ELSE start IS NULL END
   QUALIFY row_number() OVER (PARTITION BY cik, "end", field ORDER BY prio, filed DESC, row_pos) = 1)"""
+
+
+AT_ENDS = at_ends(_concepts)
+_items = [c for c in TAGS if c != "shares"]
+_direct = [c for c in _items if c not in ("balance_sheet_total", "total_equity", "minority_interest", "temporary_equity", "current_debt")]
+SHARES = f"SELECT e.cik, e.\"end\", val AS shares FROM ends e JOIN tagged t ON t.cik = e.cik AND t.field = 'shares' AND date_diff('day', e.\"end\"::DATE, t.\"end\"::DATE) BETWEEN -45 AND 180 QUALIFY row_number() OVER (PARTITION BY e.cik, e.\"end\" ORDER BY prio, abs(date_diff('day', e.\"end\"::DATE, t.\"end\"::DATE)), filed, row_pos) = 1"
+PERIODS = f"""{_facts(FACT_VALUES, True)},
+{at_ends(_items)},
+sh AS ({SHARES}),
+pv AS (SELECT cik, "end", rank, {', '.join(f"max(val) FILTER (concept = {q(c)}) AS {c}" for c in _items)}, max(filed) FILTER (concept IN {qs(_direct)}) AS filed_direct, max(filed) FILTER (concept = 'current_debt') AS filed_leg
+  FROM ends LEFT JOIN at_ends USING (cik, "end") GROUP BY ALL),
+pf AS (SELECT pv.cik, pv."end", pv.rank, {', '.join(c for c in _items if c != 'total_liabilities')}, CASE WHEN combined_debt IS NULL THEN greatest(filed_direct, filed_leg) ELSE filed_direct END AS financials_filed,
+  coalesce(total_liabilities, balance_sheet_total - coalesce(total_equity, book_equity + coalesce(minority_interest, 0)) - coalesce(temporary_equity, 0)) AS total_liabilities,
+  coalesce(combined_debt, CASE WHEN long_term_debt IS NOT NULL OR current_debt IS NOT NULL THEN coalesce(long_term_debt, 0) + coalesce(current_debt, 0) END) AS total_debt, sh.shares AS shares_outstanding
+  FROM pv LEFT JOIN sh USING (cik, "end"))"""
 ORACLE["fy_ends"] = f"WITH {FACTS}\nSELECT * FROM ends"
 ORACLE["tag_fallback"] = f"WITH {FACTS},\n{AT_ENDS}\nSELECT cik, \"end\", concept, {r6('val')} AS val, filed FROM at_ends"
-ORACLE["period_pivot"] = f"WITH {FACTS},\n{AT_ENDS}\nSELECT cik, \"end\", rank, " + ", ".join(f"{r6(f'max(val) FILTER (concept = {q(c)})')} AS {c}" for c in _concepts if c != "shares") + ", max(filed) FILTER (concept <> 'shares') AS financials_filed FROM ends LEFT JOIN at_ends USING (cik, \"end\") WHERE rank <= 2 GROUP BY ALL"
+_named = [c for c in _items if c not in ("balance_sheet_total", "total_equity", "minority_interest", "temporary_equity", "combined_debt", "current_debt")] + ["total_debt", "shares_outstanding"]
+ORACLE["period_pivot"] = f"WITH {PERIODS}\nSELECT cik, \"end\", rank, {', '.join(f'{r6(c)} AS {c}' for c in _named)}, financials_filed FROM pf WHERE rank <= 2"
 _quarter = f"CASE WHEN start IS NOT NULL THEN {SPAN} BETWEEN 80 AND 100 ELSE fp IN ('Q1', 'Q2', 'Q3', 'Q4') END"
 ORACLE["latest_fact"] = f"WITH {FACTS}\n" + " UNION ALL ".join(
     f"(SELECT cik, field, tag, {r6('val')} AS val, \"end\" AS period_end, form, filed, accn AS accession FROM tagged WHERE field = {q(c)} QUALIFY row_number() OVER (PARTITION BY cik ORDER BY prio, CAST({test} AS INT) DESC, \"end\" DESC, filed DESC, row_pos) = 1)"
@@ -334,8 +358,11 @@ ORACLE["fts_probe"] = "SELECT doc_id, array_to_string(list_filter(['license', 'c
 
 _t2, _, _df2 = delist("has_delisting_notice", "price", "false", "false", "false", "false")
 _has = lambda name: f"coalesce(list_contains(string_split(up_flags, ';'), {q(name)}), false)"
-SIGNALS = f"""{PAIR}, {DILUTION}, {PEOPLE}, {SUSP},
-fun AS (SELECT cik, {EVS} AS ev_sales, {GROWTH} AS revenue_growth, ({PIOTROSKI})::DOUBLE AS piotroski, {Z} AS altman_z, {M} AS beneish_m, {FIN} AS out_of_model, {flags(*UP)} AS up_flags, {d('t.sbc', 't.revenue')} AS sbc_revenue FROM p JOIN company USING (cik) QUALIFY row_number() OVER (PARTITION BY cik ORDER BY fy DESC) = 1),
+YEARS = f"""{PERIODS},
+pt AS (SELECT pf.*, f.market_cap, f.operating_lease_expense, f.pension_expense FROM pf LEFT JOIN f USING (cik, "end")),
+pp AS (SELECT cik, rank, pt AS t, lag(pt) OVER (PARTITION BY cik ORDER BY "end") AS t1, count(*) OVER (PARTITION BY cik) AS n FROM pt)"""
+SIGNALS = f"""{YEARS}, {DILUTION}, {PEOPLE}, {SUSP},
+fun AS (SELECT cik, {EVS} AS ev_sales, {GROWTH} AS revenue_growth, ({PIOTROSKI})::DOUBLE AS piotroski, {Z} AS altman_z, {M} AS beneish_m, {FIN} AS out_of_model, {flags(*UP)} AS up_flags, {d('t.sbc', 't.revenue')} AS sbc_revenue FROM pp JOIN company USING (cik) WHERE rank = 1),
 sig0 AS (SELECT company.*, fun.* EXCLUDE (cik), dil.* EXCLUDE (cik), halted.suspended, ins.net AS insider_net, ins."cluster" AS insider_cluster, ins.confidence AS insider_confidence, ins.sub_score AS pos_insider, tape.has_delisting_notice
   FROM company LEFT JOIN fun USING (cik) LEFT JOIN dil USING (cik) LEFT JOIN halted USING (cik) LEFT JOIN ins USING (cik) LEFT JOIN tape USING (cik)),
 sig AS (SELECT *, {_t2} AS delisting_tier, {_df2} AS delisting_flags FROM sig0),
@@ -422,6 +449,7 @@ ORACLE["watch_alerts"] = f"WITH {SNAPS}\nSELECT ticker, scanned_at, len({_mat}):
 ORACLE["latest_two"] = f"WITH {SNAPS}, k AS (SELECT ticker, scanned_at, row_number() OVER (PARTITION BY ticker ORDER BY scanned_at DESC) AS nth, array_to_string(flags, ';') AS flags FROM snaps)\nSELECT * FROM k WHERE nth <= 2"
 ORACLE["universe_lookup"] = f"WITH {COMPANY}\nSELECT ticker, lpad(cik::VARCHAR, 10, '0') AS cik, 'OTC' AS exchange, name FROM company"
 ORACLE["companyfacts_json"] = f"WITH {FUND}\nSELECT lpad(cik::VARCHAR, 10, '0') AS cik, 'Revenues' AS tag, 'USD' AS unit, \"end\", {r6('revenue')} AS val FROM f"
+ORACLE["companyfacts_archive"] = f"WITH {FUND}\nSELECT lpad(cik::VARCHAR, 10, '0') AS cik, 'Revenues' AS tag, 'USD' AS unit, \"end\", {r6('revenue')} AS val, NULL AS failure FROM f WHERE cik % 4 <> 0 UNION ALL SELECT DISTINCT lpad(cik::VARCHAR, 10, '0'), NULL, NULL, NULL, NULL::DOUBLE, 'unreadable payload' FROM f WHERE cik % 4 = 0"
 ORACLE["submissions_json"] = f"WITH {FILINGS}\nSELECT lpad(cik::VARCHAR, 10, '0') AS cik, pos, form, filing_date, accession, CASE WHEN pos < 3 THEN array_to_string(codes, ',') ELSE '' END AS items, 3674::BIGINT AS sic, '3674' AS sic_sector FROM filings"
 ORACLE["form4_xml"] = f"WITH {TXN}\nSELECT cik, 'P' || insider AS insider, code, plan AS is_10b5_1, 2 * count(*) AS n, sum(value) * 20 AS value FROM txn GROUP BY 1, 2, 3, 4"
 
@@ -449,10 +477,17 @@ s AS (SELECT max_by(e, cik) FILTER (cik % 3 <> 0) AS period, coalesce(max_by(e |
 SELECT 'filings/news' AS domain, 'filings/news: 2024-01-31 00:00 UTC — EDGAR updates continuously' AS line
 UNION ALL SELECT 'financials', 'financials: latest filed ' || period || ' (filed ' || filed || ') — the newest 10-K/10-Q the company has reported' FROM s WHERE period IS NOT NULL
 UNION ALL SELECT 'institutional (13F)', 'institutional (13F): latest filed — 13F institutional holdings are quarterly and lagged (~45 days after quarter-end).' FROM s WHERE held"""
+_flat = lambda x: f"' ' || trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+_says = lambda *ps: "(" + " OR ".join(f"contains(low, ' {p} ')" for p in ps) + ")"
+ORACLE["phrase_search"] = f"""WITH {DOCS}, filed AS (SELECT cik, doc_id, ['424B5', '8-K', 'S-1', '10-K'][doc_id % 4 + 1] AS form, strftime(DATE '2023-06-01' + (doc_id % 400)::INT, '%Y-%m-%d') AS filing_date,
+  {_flat("CASE WHEN doc_id % 11 = 0 THEN text || ' ' || " + lst(PROBES['delisting']['phrases']) + "[doc_id % 3 + 1] ELSE text END")} AS low FROM docs)
+SELECT search, doc_id, cik, form, filing_date FROM filed, (VALUES ('toxic'), ('listing'), ('of-one'), ('word')) AS v(search)
+WHERE CASE search WHEN 'toxic' THEN {_says('beneficial ownership limitation', 'death spiral')} WHEN 'listing' THEN {_says('regain compliance', 'minimum bid price', 'listing qualifications')} AND form IN ('8-K', 'S-1') AND filing_date BETWEEN '2023-08-01' AND '2024-01-31'
+  WHEN 'of-one' THEN {_says('the', 'warrant coverage')} AND cik = 7 ELSE {_says('license')} AND form = '10-K' END"""
 _probed = " UNION ALL ".join(f"SELECT cik, {q(name)} AS probe, count(*) AS n_hits FROM filed WHERE form IN {qs(p['forms'])} AND ({' OR '.join(f'contains(low, {q(x.lower())})' for x in p['phrases'])}) GROUP BY 1" for name, p in PROBES.items())
 ORACLE["stock_probes"] = f"""WITH {DOCS}, filed AS (SELECT cik, ['424B5', '8-K', 'S-1', '10-K'][doc_id % 4 + 1] AS form, lower(CASE WHEN doc_id % 11 = 0 THEN text || ' ' || {lst(PROBES['delisting']['phrases'])}[doc_id % 3 + 1] ELSE text END) AS low FROM docs WHERE DATE '2023-06-01' + (doc_id % 400)::INT BETWEEN DATE '2023-08-01' AND {EV_DAY})
 {_probed}"""
 ORACLE["provider_cascade"] = f"WITH {COMPANY}\nSELECT ticker, CASE WHEN cik % 2 = 0 THEN 'first' WHEN cik % 3 <> 0 THEN 'second' END AS provider, CASE WHEN cik % 2 <> 0 AND cik % 3 = 0 THEN 'no answer from first, second' END AS failure, CASE WHEN cik % 2 = 0 THEN price WHEN cik % 3 <> 0 THEN price + 1 END AS price FROM company"
 ORACLE["failure_isolation"] = f"WITH {COMPANY}\nSELECT ticker, CASE WHEN cik % 4 <> 0 THEN cik END AS cik, CASE WHEN cik % 4 = 0 THEN 'unreadable payload' END AS failure FROM company"
 ORACLE["watch_order"] = f"WITH {COMPANY}\nSELECT ticker, strftime(DATE '2024-01-01' + (cik % 30)::INT, '%Y-%m-%d') AS added_at FROM company ORDER BY added_at, ticker"
-ORACLE["export_full"] = f"WITH {SIGNALS}, {composed()}, {NEWEST}\nSELECT ticker, round(composite, 4) AS composite, sic_sector, {_ssize}, gated, gate_reasons, suppressed, array_to_string(list_filter({year_notes('coalesce(newest.n, 0)', 'newest.t')}, lambda x: x IS NOT NULL), ';') AS completeness, 1::BIGINT AS n_notes, round(coalesce(sub_dilution, 0), 4) AS dilution_penalty FROM sc LEFT JOIN newest USING (cik)"
+ORACLE["export_full"] = f"WITH {SIGNALS}, {composed()}, newest AS (SELECT cik, n, t FROM pp WHERE rank = 1)\nSELECT ticker, round(composite, 4) AS composite, sic_sector, {_ssize}, gated, gate_reasons, suppressed, array_to_string(list_filter({year_notes('coalesce(newest.n, 0)', 'newest.t')}, lambda x: x IS NOT NULL), ';') AS completeness, 1::BIGINT AS n_notes, round(coalesce(sub_dilution, 0), 4) AS dilution_penalty FROM sc LEFT JOIN newest USING (cik)"

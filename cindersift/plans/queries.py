@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..operators import dilution, events, evidence, facts, insider, market, scoring, watch
-from ..sources import readers, sinks
+from ..operators import dilution, events, evidence, facts, insider, market, scoring, search, watch
+from ..operators.shared import new_folder, scope, settled, share
+from ..sources import archive, readers, sinks
 from . import derived, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +77,8 @@ def fy_ends(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CONCEPTS = {c: facts.TAGS[c] for c in derived.FACT_CONCEPTS}
+#: The line items of a period: what is read, but for the legs of what is derived, and what is derived.
+ITEM_NAMES = [c for c in facts.TAGS if c not in ("shares", "balance_sheet_total", "total_equity", "minority_interest", "temporary_equity", "combined_debt", "current_debt")] + ["total_debt", "shares_outstanding"]
 
 
 @query
@@ -86,9 +89,9 @@ def tag_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def period_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    f = derived.facts(spark, sf)
-    wide = facts.period_table(f, facts.fiscal_year_ends(f).where("rank <= 2"), CONCEPTS)
-    return wide.select("cik", "end", F.col("rank").cast("long").alias("rank"), *[r6(c).alias(c) for c in CONCEPTS if c != "shares"], "financials_filed")
+    with scope():
+        filed = share(derived.filed_facts(derived.fund(spark, sf), derived.FACT_VALUES, apart=True))
+        return settled(facts.periods(filed, newest=2).select("cik", "end", "rank", *[r6(c).alias(c) for c in ITEM_NAMES], "financials_filed"))
 
 
 @query
@@ -479,6 +482,20 @@ def companyfacts_json(spark: SparkSession, sf: str) -> DataFrame:
     return readers.one_unit(readers.company_facts(f.select(body.alias("value")))).select("cik", "tag", "unit", "end", r6("val").alias("val"))
 
 
+@query
+def companyfacts_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts through bulk archives in the shared folder; every fourth member breaks off, which is reported and stops no other."""
+    f = derived.fund(spark, sf).groupBy("cik").agg(F.sort_array(F.collect_list(F.struct("end", F.col("revenue").alias("val")))).alias("rows"))
+    number = F.lpad(F.col("cik").cast("string"), 10, "0")
+    body = F.concat(F.lit('{"cik":"'), F.col("cik").cast("string"), F.lit('","facts":{"us-gaap":{"Revenues":{"units":{"USD":'), F.to_json("rows"), F.when(F.col("cik") % 4 == 0, F.lit("}")).otherwise(F.lit("}}}}}")))
+    folder = new_folder(spark, "archives")
+    archive.write_archives(f.select(F.concat(F.lit("CIK"), number, F.lit(".json")).alias("member"), body.alias("value")), folder)
+    found, failed = archive.bulk_facts(archive.read_archives(spark, folder))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("tag", "string"), ("unit", "string"), ("end", "string"), ("val", "double"))]
+    good = readers.one_unit(found).select("cik", "tag", "unit", "end", r6("val").alias("val"), F.lit(None).cast("string").alias("failure"))
+    return good.unionByName(failed.select(F.substring("member", 4, 10).alias("cik"), *nothing, "failure"))
+
+
 @query
 def submissions_json(spark: SparkSession, sf: str) -> DataFrame:
     f = derived.filings(spark, sf).groupBy("cik").agg(F.sort_array(F.collect_list(F.struct("pos", "form", "filing_date", "accession", "items"))).alias("r"))
@@ -501,6 +518,15 @@ def form4_xml(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- evidence ---------------------------------------------------------------
 
+#: A phrase, any of several in forms and days, one in a company, one of words that occur without it, and one word alone.
+SEARCHES = [
+    search.Search("toxic", ("beneficial ownership limitation", "death spiral")),
+    search.Search("listing", ("regain compliance", "minimum bid price", "listing-qualifications"), ("8-K", "S-1"), None, "2023-08-01", "2024-01-31"),
+    search.Search("of-one", ("the", "warrant coverage"), (), 7),
+    search.Search("never", ("bid minimum", "spiral death", "")),
+    search.Search("word", ("license",), ("10-K",)),
+]
+
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     """Names as typed: twice, with spaces and in lower case, and empty ones."""
@@ -551,6 +577,15 @@ def stock_probes(spark: SparkSession, sf: str) -> DataFrame:
     return readers.stock_probes(derived.filed_texts(spark, sf), F.lit("2023-08-01"), F.lit(derived.AS_OF_EVENTS))
 
 
+@query
+def phrase_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Filings that answer searches, by an index of positions that is written once."""
+    filed = derived.filed_texts(spark, sf)
+    path = new_folder(spark, "index")
+    search.write_index(filed.select("doc_id", "text"), path)
+    return search.search(search.open_index(spark, path), filed.select("doc_id", "cik", "form", "filing_date"), SEARCHES)
+
+
 @query
 def provider_cascade(spark: SparkSession, sf: str) -> DataFrame:
     c = derived.company(spark, sf)

@@ -47,7 +47,12 @@ def company_facts(payload: DataFrame) -> DataFrame:
 
     Units are matched exactly or else by prefix, the first in the payload's order; rows without a value go.
     """
-    p = payload.select(F.from_json("value", COMPANY_FACTS).alias("p")).select(F.lpad(F.col("p.cik"), 10, "0").alias("cik"), F.col("p.entityName").alias("entity_name"), F.explode("p.facts").alias("taxonomy", "tags"))
+    return facts_of(payload.select(F.from_json("value", COMPANY_FACTS).alias("p")))
+
+
+def facts_of(parsed: DataFrame) -> DataFrame:
+    """Parsed fact payloads ``p`` to the long table of facts."""
+    p = parsed.select(F.lpad(F.col("p.cik"), 10, "0").alias("cik"), F.col("p.entityName").alias("entity_name"), F.explode("p.facts").alias("taxonomy", "tags"))
     tags = p.select("cik", "entity_name", "taxonomy", F.explode("tags").alias("tag", "t"))
     units = tags.select("cik", "entity_name", "taxonomy", "tag", F.posexplode(F.map_entries("t.units")).alias("unit_pos", "u"))
     rows = units.select("cik", "entity_name", "taxonomy", "tag", F.col("u.key").alias("unit"), "unit_pos", F.posexplode("u.value").alias("row_pos", "r"))
