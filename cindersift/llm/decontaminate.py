@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,24 +49,34 @@ class Words(dict):
         self._make(most)
 
     def _make(self, size: int) -> None:
-        self.table = tuple(np.empty(size, t) for t in (np.uint64, np.int8, bool, bool))
+        self.hashes, self.kinds, self.ends, self.shouts = (np.empty(size, t) for t in (np.uint64, np.int8, bool, bool))
 
     def __missing__(self, raw: str) -> int:
-        core = EDGES.sub("", raw) or raw
-        low = core.lower()
-        kind = BREAK if raw == "\n" else 1 if NUMBER.fullmatch(core) else 3 if low in UNITS else 2 if core[:1].isupper() else 0
         self[raw] = at = len(self)
-        for column, value in zip(self.table, (xxhash.xxh64_intdigest(low), kind, raw[-1] in ".!?:;|\n", len(low) > 3 and raw.isupper()), strict=True):
-            column[at] = value
+        if raw.isalpha():  # neither edges to strip nor a number nor an end
+            low = raw.lower()
+            kind, ends = 3 if low in UNITS else 2 if raw[0].isupper() else 0, False
+        else:
+            core = EDGES.sub("", raw) or raw
+            low = core.lower()
+            kind = BREAK if raw == "\n" else 1 if NUMBER.fullmatch(core) else 3 if low in UNITS else 2 if core[:1].isupper() else 0
+            ends = raw[-1] in ".!?:;|\n"
+        self.hashes[at], self.kinds[at], self.ends[at], self.shouts[at] = xxhash.xxh64_intdigest(low), kind, ends, len(low) > 3 and raw.isupper()
         return at
 
     def of(self, found: list[str]) -> tuple[np.ndarray, ...]:
         if len(self) + len(found) > self.most:
             self.clear()
-            if len(found) > len(self.table[0]):
+            if len(found) > len(self.hashes):
                 self._make(len(found))
         at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return tuple(t[at] for t in self.table)
+        return self.hashes[at], self.kinds[at], self.ends[at], self.shouts[at]
+
+
+@lru_cache(1)
+def remembered() -> Words:
+    """The words that a worker remembers from task to task."""
+    return Words()
 
 
 def template(text: str, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -94,7 +105,7 @@ def _windows(sent, window: int):
     item's window, whichever form is matched."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, wanted = Words(), None if sent is None else sent.value
+        known, wanted = remembered(), None if sent is None else sent.value
         for batch in batches:
             rows = []
             for row, text in zip(batch["row"], batch["text"], strict=True):
