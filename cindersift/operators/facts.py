@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import DURATIONS, SHARE_SERIES, TAGS
 from ..functions.expr import iso_date, sum_present
 from .asof import nearest
+from .shared import share
 
 
 def span_days() -> Column:
@@ -103,12 +104,13 @@ def periods(facts: DataFrame, newest: int | None = None) -> DataFrame:
     ranked = years.withColumn("rank", F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("end"))))
     if newest is not None:
         ranked = ranked.where(F.col("rank") <= newest)
+    ranked = share(ranked)
     value = lambda c, what="val": F.try_element_at("items", F.lit(c))[what]
     legs = ["balance_sheet_total", "total_equity", "minority_interest", "temporary_equity"]
     read = [value(c, "filed") for c in names if c not in (*legs, "current_debt")] + [F.when(value("combined_debt").isNull(), value("current_debt", "filed"))]
     out = ranked.select("cik", "end", F.col("rank").cast("long").alias("rank"), *[value(c).alias(c) for c in names], F.nullif(F.greatest(*read), F.lit("")).alias("financials_filed"))
     out = out.withColumn("total_liabilities", derived_liabilities()).withColumn("total_debt", F.coalesce("combined_debt", sum_present(F.col("long_term_debt"), F.col("current_debt"))))
-    shares = shares_as_of(facts, out).withColumnRenamed("shares", "shares_outstanding")
+    shares = shares_as_of(facts, ranked).withColumnRenamed("shares", "shares_outstanding")
     return out.join(shares, ["cik", "end"], "left")
 
 

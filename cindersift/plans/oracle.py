@@ -445,6 +445,7 @@ prior AS (SELECT *, lag(score) OVER w AS s0, lag(flags) OVER w AS f0 FROM snaps
 diffs AS (SELECT *, score - s0 AS delta, CASE WHEN f0 IS NULL THEN [] ELSE list_filter(flags, lambda x: NOT list_contains(f0, x)) END AS new_flags, CASE WHEN f0 IS NULL THEN [] ELSE list_filter(f0, lambda x: NOT list_contains(flags, x)) END AS cleared FROM prior)"""
 _mat = f"list_filter(new_flags, lambda x: x IN {qs(MATERIAL_FLAGS + GATE_REASONS)})"
 ORACLE["snapshot_diff"] = f"WITH {SNAPS}\nSELECT ticker, scanned_at, {r6('score')} AS score, {r6('delta')} AS delta, array_to_string(new_flags, ';') AS new_flags, array_to_string(cleared, ';') AS cleared_flags FROM diffs"
+ORACLE["snapshot_store"] = f"WITH {SNAPS}\nSELECT ticker, scanned_at, {r6('score')} AS score, array_to_string(flags, ';') AS flags FROM snaps"
 ORACLE["watch_alerts"] = f"WITH {SNAPS}\nSELECT ticker, scanned_at, len({_mat})::BIGINT AS n_new, coalesce(delta <= -2.0, false) AS fell FROM diffs WHERE len({_mat}) > 0 OR delta <= -2.0"
 ORACLE["latest_two"] = f"WITH {SNAPS}, k AS (SELECT ticker, scanned_at, row_number() OVER (PARTITION BY ticker ORDER BY scanned_at DESC) AS nth, array_to_string(flags, ';') AS flags FROM snaps)\nSELECT * FROM k WHERE nth <= 2"
 ORACLE["universe_lookup"] = f"WITH {COMPANY}\nSELECT ticker, lpad(cik::VARCHAR, 10, '0') AS cik, 'OTC' AS exchange, name FROM company"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..operators import dilution, events, evidence, facts, insider, market, scoring, search, watch
 from ..operators.shared import new_folder, scope, settled, share
-from ..sources import archive, readers, sinks
+from ..sources import archive, readers, sinks, store
 from . import derived, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,6 +451,16 @@ def latest_two(spark: SparkSession, sf: str) -> DataFrame:
     return watch.latest(derived.snapshots(spark, sf)).select("ticker", "scanned_at", F.col("nth").cast("long").alias("nth"), joined("flags").alias("flags"))
 
 
+@query
+def snapshot_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after a first run with other scores for some names and a second run that was written twice."""
+    path, new = new_folder(spark, "snapshots"), derived.snapshots(spark, sf)
+    store.add_run(new.where("length(ticker) % 2 = 0").withColumn("score", F.col("score") + 1), path, "2024-01-01T00:00")
+    for _ in range(2):
+        store.add_run(new, path, "2024-01-02T00:00")
+    return store.read_store(spark, path).select("ticker", "scanned_at", r6("score").alias("score"), joined("flags").alias("flags"))
+
+
 @query
 def watch_semi(spark: SparkSession, sf: str) -> DataFrame:
     names = derived.company(spark, sf).where("cik % 3 = 0").select("ticker")

@@ -58,8 +58,11 @@ def fundamentals(periods: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def periods_of(years: DataFrame) -> DataFrame:
-    """The line items of the facts filed for ``years``, and beside them what no fact has: market value, leases, pensions."""
-    items = facts.periods(share(derived.filed_facts(years, derived.FACT_VALUES, apart=True)))
+    """The line items of the facts filed for ``years``, and beside them what no fact has: market value, leases, pensions.
+
+    They are written to the shared folder, so that the models over them are planned apart from the facts.
+    """
+    items = settled(facts.periods(share(derived.filed_facts(years, derived.FACT_VALUES, apart=True))))
     return items.join(years.select("cik", "end", "market_cap", "operating_lease_expense", "pension_expense"), ["cik", "end"], "left")
 
 
