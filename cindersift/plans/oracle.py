@@ -431,6 +431,14 @@ ORACLE["sector_size_pct"] = f"""WITH {FUND}, {COMPANY}, g AS (SELECT cik, fy, si
 k AS (SELECT *, (rank() OVER (PARTITION BY sic_sector, bucket ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY sic_sector, bucket, v) - 1) / 2.0::DOUBLE) / count(v) OVER (PARTITION BY sic_sector, bucket) AS x FROM g)
 SELECT cik, fy, bucket, CASE WHEN v IS NOT NULL THEN {r6('x')} END AS pct, CASE WHEN v IS NOT NULL THEN {r6('least(1, greatest(0, x))')} END AS sub_score FROM k"""
 ORACLE["export_records"] = score(f"ticker, round(composite, 4) AS composite, gated, {_srank}, {_flags}, na_modules, {_nsup}::BIGINT AS suppressed_count, suppressed = '' AS evidence_complete, len(flag_list)::BIGINT AS n_penalties, round({' + '.join(f'round(add_{k}, 4)' for k in POSITIVES)}, 3) AS positive", "hold", "broad")
+_known = "(altman_z IS NOT NULL OR revenue_growth IS NOT NULL OR dilution_severity IS NOT NULL OR delisting_tier IS NOT NULL OR suspended IS NOT NULL OR insider_net IS NOT NULL)"
+ORACLE["scan_counts"] = f"""WITH {SIGNALS}, {composed("hold", "penny")},
+told AS (SELECT *, CASE WHEN NOT {_known} THEN 'not assessed' WHEN coalesce(serial_splitter, false) THEN 'serial reverse splitter' END AS reason FROM sc),
+kept AS (SELECT * FROM told WHERE reason IS NULL)
+SELECT 'universe_counts' AS kind, unnest(['scanned', 'ranked', 'gated', 'evidence_complete', 'excluded', 'failed']) AS name,
+  unnest([count(*), count(*) FILTER (reason IS NULL), count(*) FILTER (reason IS NULL AND gated), count(*) FILTER (reason IS NULL AND suppressed = ''), count(reason), 0]) AS n FROM told
+UNION ALL SELECT 'excluded_by_reason', reason, count(*) FROM told WHERE reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'suppressed_by_module', m, count(*) FROM (SELECT unnest(string_split(suppressed, ';')) AS m FROM kept WHERE suppressed <> '') GROUP BY 2"""
 _un = f"CASE WHEN {_nsup} > 0 THEN ' ~' || {_nsup} || ' unchecked' ELSE '' END"
 ORACLE["flag_glyph"] = score(f"ticker, CASE WHEN gated THEN '[X] excluded: ' || replace(gate_reasons, ';', '; ') WHEN {_crit} THEN '[X] ' || array_to_string(flag_list, ', ') || {_un} WHEN len(flag_list) > 0 THEN '[!] ' || array_to_string(flag_list, ', ') || {_un} ELSE '-' || {_un} END AS glyph")
 ORACLE["watch_semi"] = score(f"ticker, {r6('composite')} AS composite", more="WHERE cik % 3 = 0")
@@ -445,6 +453,8 @@ prior AS (SELECT *, lag(score) OVER w AS s0, lag(flags) OVER w AS f0 FROM snaps
 diffs AS (SELECT *, score - s0 AS delta, CASE WHEN f0 IS NULL THEN [] ELSE list_filter(flags, lambda x: NOT list_contains(f0, x)) END AS new_flags, CASE WHEN f0 IS NULL THEN [] ELSE list_filter(f0, lambda x: NOT list_contains(flags, x)) END AS cleared FROM prior)"""
 _mat = f"list_filter(new_flags, lambda x: x IN {qs(MATERIAL_FLAGS + GATE_REASONS)})"
 ORACLE["snapshot_diff"] = f"WITH {SNAPS}\nSELECT ticker, scanned_at, {r6('score')} AS score, {r6('delta')} AS delta, array_to_string(new_flags, ';') AS new_flags, array_to_string(cleared, ';') AS cleared_flags FROM diffs"
+ORACLE["export_csv"] = f"WITH {SNAPS}\nSELECT ticker, scanned_at, {r6('score')} AS score, array_to_string(flags, ';') AS flags FROM snaps"
+ORACLE["snapshot_stream"] = ORACLE["snapshot_diff"]
 ORACLE["snapshot_store"] = f"WITH {SNAPS}\nSELECT ticker, scanned_at, {r6('score')} AS score, array_to_string(flags, ';') AS flags FROM snaps"
 ORACLE["watch_alerts"] = f"WITH {SNAPS}\nSELECT ticker, scanned_at, len({_mat})::BIGINT AS n_new, coalesce(delta <= -2.0, false) AS fell FROM diffs WHERE len({_mat}) > 0 OR delta <= -2.0"
 ORACLE["latest_two"] = f"WITH {SNAPS}, k AS (SELECT ticker, scanned_at, row_number() OVER (PARTITION BY ticker ORDER BY scanned_at DESC) AS nth, array_to_string(flags, ';') AS flags FROM snaps)\nSELECT * FROM k WHERE nth <= 2"

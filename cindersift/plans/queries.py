@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..operators import dilution, events, evidence, facts, insider, market, scoring, search, watch
 from ..operators.shared import new_folder, scope, settled, share
-from ..sources import archive, readers, sinks, store
+from ..sources import archive, headed, readers, sinks, store
+from ..streaming import tape
 from . import derived, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,6 +429,26 @@ def export_records(spark: SparkSession, sf: str) -> DataFrame:
     return rec.select("ticker", "composite", "gated", F.col("sector_rank").cast("double").alias("sector_rank"), joined("penalty_flags").alias("penalty_flags"), joined("na_modules").alias("na_modules"), F.col("suppressed_count").cast("long").alias("suppressed_count"), "evidence_complete", F.size("penalty_contributions").cast("long").alias("n_penalties"), total("positive_contributions").alias("positive"))
 
 
+@query
+def export_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """All snapshots through CSV files in the shared folder and back; scores keep their digits, flags are JSON."""
+    rows, folder = derived.snapshots(spark, sf), new_folder(spark, "csv")
+    sinks.write_csv(rows, folder)
+    back = headed.read_headed(spark, folder, "ticker string, scanned_at string, score double, flags string")
+    return back.select("ticker", "scanned_at", r6("score").alias("score"), joined(F.from_json("flags", "array<string>")).alias("flags"))
+
+
+@query
+def scan_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the scan tells of itself, counted while its names are written: a row for each count and kind."""
+    folder = new_folder(spark, "scan")
+    sinks.write_scan(*scan.run(scan.signals(spark, sf), scan.Request(no_serial_splitter=True)), folder)
+    kinds = ("universe_counts", "excluded_by_reason", "suppressed_by_module")
+    meta = spark.read.schema("value string").text(f"{folder}/meta").select(F.from_json("value", ", ".join(f"{k} map<string, bigint>" for k in kinds)).alias("m"))
+    each = [meta.select(F.lit(k).alias("kind"), F.explode(f"m.{k}").alias("name", "n")) for k in kinds]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 @query
 def flag_glyph(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("ticker", scoring.glyph().alias("glyph"))
@@ -461,6 +482,12 @@ def snapshot_store(spark: SparkSession, sf: str) -> DataFrame:
     return store.read_store(spark, path).select("ticker", "scanned_at", r6("score").alias("score"), joined("flags").alias("flags"))
 
 
+@query
+def snapshot_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The diffs of all snapshots through a stream with state, which meets them in no order."""
+    return tape.replayed(derived.snapshots(spark, sf)).select("ticker", "scanned_at", r6("score").alias("score"), r6("delta").alias("delta"), joined("new_flags").alias("new_flags"), joined("cleared_flags").alias("cleared_flags"))
+
+
 @query
 def watch_semi(spark: SparkSession, sf: str) -> DataFrame:
     names = derived.company(spark, sf).where("cik % 3 = 0").select("ticker")

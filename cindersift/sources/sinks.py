@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.constants import MODULES, POSITIVES
+from ..functions.constants import EXCLUSIONS, MODULES, POSITIVES
+from .headed import write_headed
 
 DISCLAIMER = "Research output, not investment advice."
 NOTE = "Scores rest on filings alone; whether a name can be traded is not assessed."
@@ -41,33 +42,46 @@ def read_disclaimer(df: DataFrame) -> str | None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files whose first line is the disclaimer as a comment and the second the header, in each part."""
-    rows = flat(df)
-    line = lambda cells: F.concat_ws(",", *cells)
-    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in rows.columns]
-    head = f"# {DISCLAIMER}\n" + ",".join(rows.columns)
-    numbered = rows.select(line(quoted).alias("value"), (F.monotonically_increasing_id() % (1 << 33) == 0).alias("first"))
-    numbered.select(F.when(F.col("first"), F.concat(F.lit(head + "\n"), "value")).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(path)
+    """CSV files of which each has the disclaimer as a comment, one header and its rows."""
+    write_headed(flat(df), path, DISCLAIMER)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.withColumn("_disclaimer", F.lit(DISCLAIMER)).write.mode("overwrite").json(path)
 
 
-def write_scan(ranked: DataFrame, excluded: DataFrame, path: str, **meta) -> bool:
-    """The whole scan, however many names a report shows: ``results`` and ``excluded`` as JSON lines, ``meta`` as one line.
+def write_scan(ranked: DataFrame, excluded: DataFrame, path: str, failures: DataFrame | None = None, **meta) -> bool:
+    """The whole scan, however many names a report shows: ``results``, ``excluded`` and ``failures`` as JSON lines, and
+    ``meta`` as one line with what ``counts`` tells.
 
+    Names are counted while they are written, by metrics of the jobs that write. ``failures`` holds ticker and reason.
     Nothing is written, and the answer is false, when no name was scored.
     """
     if ranked.isEmpty():
         return False
-    write_json(records(ranked), f"{path}/results")
-    write_json(excluded, f"{path}/excluded")
-    told = json.dumps({"_disclaimer": DISCLAIMER, **meta}, default=str)
-    ranked.sparkSession.range(1).select(F.lit(told).alias("value")).write.mode("overwrite").text(f"{path}/meta")
+    seen, out, lost = Observation("results"), Observation("excluded"), Observation("failures")
+    parts = [F.count_if(F.array_contains("suppressed", m)).alias(m) for m in POSITIVES + [m for m in MODULES if m not in POSITIVES]]
+    write_json(records(ranked).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("gated").alias("gated"), F.count_if("evidence_complete").alias("complete"), *parts), f"{path}/results")
+    reasons = [F.count_if(F.col("reason") == r).alias(r) for r in EXCLUSIONS]
+    write_json(excluded.observe(out, F.count(F.lit(1)).alias("n"), *reasons), f"{path}/excluded")
+    if failures is not None:
+        write_json(failures.observe(lost, F.count(F.lit(1)).alias("n")), f"{path}/failures")
+    told = {"_disclaimer": DISCLAIMER, **counts(seen.get, out.get, lost.get["n"] if failures is not None else 0), **meta}
+    ranked.sparkSession.range(1).select(F.lit(json.dumps(told, default=str)).alias("value")).write.mode("overwrite").text(f"{path}/meta")
     return True
 
 
+def counts(seen: dict[str, int], out: dict[str, int], failed: int) -> dict:
+    """What a scan met: names scanned, ranked, gated, with all evidence, excluded by reason, failed, suppressed by module,
+    and whether so many failed that the result is partial."""
+    seen, out = dict(seen), dict(out)
+    ranked, gated, complete, excluded = seen.pop("n"), seen.pop("gated"), seen.pop("complete"), out.pop("n")
+    return {
+        "universe_counts": {"scanned": ranked + excluded + failed, "ranked": ranked, "gated": gated, "evidence_complete": complete, "excluded": excluded, "failed": failed},
+        "excluded_by_reason": {r: n for r, n in out.items() if n}, "suppressed_by_module": {m: n for m, n in seen.items() if n}, "partial_failure": failure_share(ranked + excluded, failed),
+    }
+
+
 def payload(df: DataFrame, most: int = 100, **meta) -> str:
     """A report as one JSON text for at most ``most`` names, the limit of a report; ``truncated`` tells whether there are
     more. ``write_scan`` writes them all."""

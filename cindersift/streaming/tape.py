@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators.events import codes
+from ..operators.shared import new_folder
 
 DIFF = "ticker string, scanned_at string, score double, delta double, new_flags array<string>, cleared_flags array<string>"
 
@@ -39,3 +43,95 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def snapshot_diffs(snapshots: DataFrame) -> DataFrame:
     """Each snapshot against the last one of its ticker, which is the state that is kept; rows arrive in order of time per ticker."""
     return snapshots.groupBy("ticker").applyInPandasWithState(_step, DIFF, "score double, flags array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+#: The state store that keeps state variables and timers on disk.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+SNAPSHOT = "ticker string, scanned_at string, score double, flags array<string>"
+#: The ticker of the row that closes a bounded stream, and its time, beyond all others.
+CLOSING, LAST = "", "9999-01-01"
+
+
+class OrderedDiff(StatefulProcessor):
+    """Snapshots of a ticker wait in a map by time; a timer for each time tells it once the watermark has come to it.
+
+    The state holds what lies between the watermark and the newest row, and the last snapshot told.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "scanned_at string, score double, flags array<string>")
+        self.last = handle.getValueState("last", "score double, flags array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        rank = lambda score, flags: (score is not None, score or 0.0, flags)
+        best: dict[int, tuple] = {}
+        for r in rows:
+            flags = list(r.flags or [])
+            old = best.get(r.at)
+            if old is None:
+                old = best[r.at] = self.waiting.getValue((r.at,)) if self.waiting.containsKey((r.at,)) else None
+            if old is None or rank(r.score, flags) > rank(old[1], list(old[2])):
+                best[r.at] = (r.scanned_at, r.score, flags)
+        for at, row in best.items():
+            self.waiting.updateValue((at,), tuple(row))
+            self.handle.registerTimer(at)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waiting.containsKey((due,)):
+            return
+        # All that is due is told by the first timer, in order, whatever the order in which timers fire.
+        until = timerValues.getCurrentWatermarkInMs()
+        ready = sorted(((at[0], *row) for at, row in self.waiting.iterator() if at[0] <= until or at[0] == due), key=lambda r: r[0])
+        known = self.last.get() if self.last.exists() else None
+        for at, scanned_at, score, flags in ready:
+            now = list(flags)
+            was = list(known[1]) if known else []
+            delta = score - known[0] if known and score is not None and known[0] is not None else None
+            yield Row(ticker=key[0], scanned_at=scanned_at, score=score, delta=delta, new_flags=[f for f in now if f not in was] if known else [], cleared_flags=[f for f in was if f not in now] if known else [])
+            self.waiting.removeKey((at,))
+            known = (score, now)
+        self.last.update(known)
+
+
+def ordered_diffs(snapshots: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Each snapshot of a stream against the one before it in time, in whatever order they arrive.
+
+    A snapshot is told once the watermark, ``late`` behind the newest time seen, has come to it; one that comes after
+    that is dropped, as are rows without a ticker or a time that can be read. Times count to the millisecond; of rows
+    with one ticker and time the largest by score, then flags, counts. Null flags are none. A query over it runs
+    within ``ordered_state``.
+    """
+    timed = snapshots.select("ticker", "scanned_at", "score", "flags", F.try_to_timestamp("scanned_at").alias("ts")).where("ticker IS NOT NULL AND ts IS NOT NULL")
+    rows = timed.withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
+    return rows.groupBy("ticker").transformWithState(OrderedDiff(), DIFF, "Append", "EventTime")
+
+
+@contextmanager
+def ordered_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started within it use the state store that ``ordered_diffs`` needs; the setting is put back."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE[0])
+        else:
+            spark.conf.set(STORE[0], before)
+
+
+def replayed(snapshots: DataFrame) -> DataFrame:
+    """A bounded table of snapshots through the stream, to its end: written to the shared folder, read as a stream by
+    one trigger in no order, closed by a row beyond all times, and the diffs read back from the sink's files."""
+    spark, folder = snapshots.sparkSession, new_folder(snapshots.sparkSession, "stream")
+    rows = snapshots.select("ticker", "scanned_at", "score", "flags").where(F.col("ticker") != CLOSING)
+    closing = spark.range(1).select(F.lit(CLOSING).alias("ticker"), F.lit(LAST).alias("scanned_at"), F.lit(None).cast("double").alias("score"), F.array().cast("array<string>").alias("flags"))
+    rows.unionByName(closing).write.parquet(f"{folder}/in")
+    told = ordered_diffs(spark.readStream.schema(SNAPSHOT).parquet(f"{folder}/in"))
+    with ordered_state(spark):
+        q = told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(DIFF).parquet(f"{folder}/out").where(F.col("ticker") != CLOSING)
