@@ -46,10 +46,10 @@ def velocity(points: DataFrame) -> DataFrame:
 
 
 def reverse_splits(points: DataFrame) -> DataFrame:
-    """Reverse splits read from falls of the share count: cik, n_splits, serial, since_year, cumulative."""
+    """Reverse splits read from falls of the share count: cik, n_splits, serial, since_year, last_split, cumulative."""
     order = Window.partitionBy("cik").orderBy("period_end")
     fell = points.withColumn("prev", F.lag("shares").over(order)).where("prev > 0 AND shares > 0").withColumn("ratio", F.col("prev") / F.col("shares")).where(F.col("ratio").between(SPLIT_LEAST, SPLIT_MOST))
-    return fell.groupBy("cik").agg(F.count(F.lit(1)).alias("n_splits"), F.min(F.substring("period_end", 1, 4)).alias("since_year"), F.product("ratio").alias("cumulative")).withColumn("serial", F.col("n_splits") >= 2)
+    return fell.groupBy("cik").agg(F.count(F.lit(1)).alias("n_splits"), F.min(F.substring("period_end", 1, 4)).alias("since_year"), F.max("period_end").alias("last_split"), F.product("ratio").alias("cumulative")).withColumn("serial", F.col("n_splits") >= 2)
 
 
 def registrations(filings: DataFrame, as_of: Column) -> DataFrame:

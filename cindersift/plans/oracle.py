@@ -258,7 +258,7 @@ mv AS (SELECT cik, shares, lag(shares) OVER w AS p1, lag(shares, 2) OVER w AS p2
 velocity AS (SELECT cik, shares AS latest, (shares - p1) / p1 AS qoq, CASE WHEN p1 IS NOT NULL THEN (shares - year_ago) / year_ago END AS yoy,
   CASE WHEN p2 IS NOT NULL THEN CASE WHEN (shares - p1) / p1 > (p1 - p2) / p2 THEN 'accelerating' ELSE 'decelerating' END END AS trend, coalesce((shares - p1) / p1 >= 0.20, false) AS death_spiral, p1 IS NULL AS low_confidence FROM mv LEFT JOIN year_ago USING (cik) WHERE r = 1)"""
 SPLITS = """sp AS (SELECT cik, period_end, lag(shares) OVER (PARTITION BY cik ORDER BY period_end) / shares AS ratio FROM points),
-splits AS (SELECT cik, count(*) AS n_splits, count(*) >= 2 AS serial, min(substr(period_end, 1, 4)) AS since_year, product(ratio) AS cumulative FROM sp WHERE ratio BETWEEN 1.8 AND 250 GROUP BY 1)"""
+splits AS (SELECT cik, count(*) AS n_splits, count(*) >= 2 AS serial, min(substr(period_end, 1, 4)) AS since_year, max(period_end) AS last_split, product(ratio) AS cumulative FROM sp WHERE ratio BETWEEN 1.8 AND 250 GROUP BY 1)"""
 _items = lst(sorted(ITEMS))
 _forms = ["424B3", "424B5", "S-3", "S-1", "NT 10-K", "144", "SC 13G", "SC 13D", "UPLOAD", "CORRESP"]
 FILINGS = f"""ev AS (SELECT *, (props::JSON->>'k')::INT AS k FROM events),
@@ -293,12 +293,22 @@ ORACLE["overhang"] = f"WITH {FUND}\nSELECT cik, fy, {r6(f'shares_outstanding + {
 _signs = "(CAST(cik % 4 = 0 AS INT) + CAST(cik % 3 > 0 AS INT) + CAST(cik % 5 <> 0 AND cik % 10 <= 5 AS INT) + CAST(revenue < 100000 AND shares_outstanding * 10000 > 50000000 AS INT))"
 ORACLE["shell_composite"] = f"WITH {FUND}\nSELECT cik, fy, {_signs}::BIGINT AS signs, {_signs} >= 2 AS shell FROM f"
 ORACLE["auditor_flags"] = f"WITH {FILINGS}, {BUILT}, {tape()}\nSELECT cik, ever_401 > 0 AS changed, ever_402 > 0 AS restated, ever_401 >= 2 AS churn FROM tape"
-_rules = [("active_atm", 15, "ACTIVE-ATM"), ("n_toxic > 0", 20, "TOXIC-FINANCING"), ("death_spiral", 20, "DILUTION-VELOCITY-HIGH"), ("n_splits >= 2", 20, "SERIAL-SPLITTER"), ("n_splits = 1", 8, "REVERSE-SPLIT"), ("late_escalated", 15, "NT-RESTATEMENT"), ("n_late > 0 AND NOT late_escalated", 5, "NT-LATE"), ("false", 15, "SHELL-ARC"), ("ever_402 > 0", 15, "RESTATEMENT"), ("ever_401 >= 2", 10, "AUDITOR-CHURN")]
-_points = "least(100, " + " + ".join(f"CASE WHEN {t} THEN {p} ELSE 0 END" for t, p, _ in _rules) + ")"
-DILUTION = f"""{VELOCITY}, {SPLITS}, {FILINGS}, {REG}, {BUILT}, {tape()}, {DOCS}, tox AS (SELECT cik, count(*) AS n_toxic FROM docs WHERE len({TERMS}) > 0 GROUP BY 1),
+_rules = [("coalesce(max_amount <> 0 AND market_cap <> 0 AND max_amount / market_cap * 100.0::DOUBLE > 100 AND NOT wksi, false)", 15, "DILUTION-SHELF-LARGE"), ("active_atm", 15, "ACTIVE-ATM"), ("n_toxic > 0", 20, "TOXIC-FINANCING"), ("death_spiral", 20, "DILUTION-VELOCITY-HIGH"), ("n_splits >= 2", 20, "SERIAL-SPLITTER"), ("n_splits = 1", 8, "REVERSE-SPLIT"), ("late_escalated", 15, "NT-RESTATEMENT"), ("n_late > 0 AND NOT late_escalated", 5, "NT-LATE"), ("false", 15, "SHELL-ARC"), ("ever_402 > 0", 15, "RESTATEMENT"), ("ever_401 >= 2", 10, "AUDITOR-CHURN")]
+_sum = " + ".join(f"CASE WHEN {t} THEN {p} ELSE 0 END" for t, p, _ in _rules)
+_points = f"least(100, greatest(0, ({_sum}) - CASE WHEN coalesce(buying, false) THEN 10 ELSE 0 END))"
+FILED = f"""filed AS (SELECT cik, doc_id, ['424B5', '8-K', 'S-1', '10-K'][doc_id % 4 + 1] AS form, DATE '2023-06-01' + (doc_id % 400)::INT AS day, CASE WHEN doc_id % 11 = 0 THEN text || ' ' || upper({lst(PROBES['delisting']['phrases'])}[doc_id % 3 + 1]) ELSE text END AS text FROM docs)"""
+FOUND = f"""{VELOCITY}, {SPLITS}, {FILINGS}, {REG}, {BUILT}, {tape()}, {DOCS}, {FILED},
+words AS (SELECT cik, count(*) FILTER (len({TERMS}) > 0) AS n_toxic, count(*) FILTER (form IN {qs(PROBES['delisting']['forms'])} AND day BETWEEN {EV_DAY} - 180 AND {EV_DAY} AND ({' OR '.join(f'contains(lower(text), {q(x.lower())})' for x in PROBES['delisting']['phrases'])})) AS n_language FROM filed GROUP BY 1),
 dil0 AS (SELECT coalesce(velocity.cik, reg.cik) AS cik, * EXCLUDE (cik) FROM velocity FULL JOIN reg ON velocity.cik = reg.cik),
-dil1 AS (SELECT * FROM dil0 LEFT JOIN splits USING (cik) LEFT JOIN tape USING (cik) LEFT JOIN tox USING (cik)),
-dil AS (SELECT cik, {_points}::BIGINT AS dilution_score, CASE WHEN {_points} >= 40 THEN 'high' WHEN {_points} >= 15 THEN 'medium' WHEN {_points} > 0 THEN 'low' ELSE 'none' END AS dilution_severity, {flags(*[(t, n) for t, _, n in _rules])} AS dilution_flags, coalesce(n_splits >= 2, false) AS serial_splitter FROM dil1)"""
+dil1 AS (SELECT * FROM dil0 LEFT JOIN splits USING (cik) LEFT JOIN tape USING (cik) LEFT JOIN words USING (cik))"""
+
+
+def diluted(more: str) -> str:
+    """The dilution score from ``dil1`` and what else is known of a company."""
+    return f"""dil2 AS (SELECT * FROM dil1 {more}), dil AS (SELECT cik, {_points}::BIGINT AS dilution_score, CASE WHEN {_points} >= 40 THEN 'high' WHEN {_points} >= 15 THEN 'medium' WHEN {_points} > 0 THEN 'low' ELSE 'none' END AS dilution_severity, {flags(*[(t, n) for t, _, n in _rules])} AS dilution_flags, coalesce(n_splits >= 2, false) AS serial_splitter FROM dil2)"""
+
+
+DILUTION = f"{FOUND}, {diluted('CROSS JOIN (SELECT NULL::DOUBLE AS market_cap, NULL::BOOLEAN AS buying)')}"
 ORACLE["dilution_score"] = f"WITH {DILUTION}\nSELECT * FROM dil"
 ORACLE["event_build"] = f"WITH {FILINGS}, {BUILT}\nSELECT cik, accession, array_to_string(codes, ';') AS codes, cats[list_position(sevs, list_max(sevs))] AS category, list_max(sevs) AS severity, array_to_string(list_sort(list_distinct(cats)), ';') AS categories, form LIKE '%/A' AS is_amendment FROM built"
 ORACLE["event_tape_counts"] = f"WITH {FILINGS}, {BUILT}\nSELECT cik, code, count(*) AS n FROM (SELECT cik, unnest(codes) AS code FROM built) GROUP BY 1, 2"
@@ -311,11 +321,19 @@ ORACLE["comment_letters"] = f"WITH {FILINGS}, l AS (SELECT cik, {_n} AS letters,
 # ---- insiders and market ----------------------------------------------------
 
 TXN = """txn AS (SELECT l_suppkey AS cik, l_partkey % 7 AS insider, substr('PSAMFGX', l_linenumber, 1) AS code, round(l_extendedprice * 100)::BIGINT::DOUBLE AS value, l_returnflag = 'R' AS plan, l_linestatus = 'O' AS linked FROM lineitem)"""
-PEOPLE = f"""{TXN}, ins0 AS (SELECT cik, count(DISTINCT insider) FILTER (code = 'P') AS buyers, count(*) FILTER (code = 'P') AS n_buys, coalesce(sum(value) FILTER (code = 'P'), 0) AS bought, coalesce(sum(value) FILTER (code = 'S' AND NOT plan AND NOT linked), 0) AS sold_freely,
-  coalesce(sum(value) FILTER (code = 'S' AND plan), 0) AS sold_by_plan, coalesce(sum(value) FILTER (code = 'S' AND linked AND NOT plan), 0) AS sold_after_exercise, count(*) FILTER (code IN ('A', 'M', 'F', 'G', 'C', 'J', 'D')) AS n_excluded, 0::BIGINT AS n_144 FROM txn GROUP BY 1),
-ins1 AS (SELECT *, buyers >= 2 AS "cluster", false AS overhang, CASE WHEN buyers >= 2 AND bought > sold_freely THEN 'bullish' WHEN sold_freely > 0 THEN 'bearish' ELSE 'neutral' END AS net, CASE WHEN buyers >= 3 OR bought >= 500000 THEN 'high' WHEN buyers >= 2 OR sold_freely > 0 THEN 'medium' ELSE 'low' END AS confidence,
+
+
+def people(notices: str) -> str:
+    """The profile of insiders with the notices of ``notices``, which gives cik and n_144."""
+    return f"""{TXN}, n144 AS ({notices}), ins00 AS (SELECT cik, count(DISTINCT insider) FILTER (code = 'P') AS buyers, count(*) FILTER (code = 'P') AS n_buys, coalesce(sum(value) FILTER (code = 'P'), 0) AS bought, coalesce(sum(value) FILTER (code = 'S' AND NOT plan AND NOT linked), 0) AS sold_freely,
+  coalesce(sum(value) FILTER (code = 'S' AND plan), 0) AS sold_by_plan, coalesce(sum(value) FILTER (code = 'S' AND linked AND NOT plan), 0) AS sold_after_exercise, count(*) FILTER (code IN ('A', 'M', 'F', 'G', 'C', 'J', 'D')) AS n_excluded FROM txn GROUP BY 1),
+ins0 AS (SELECT coalesce(ins00.cik, n144.cik) AS cik, coalesce(COLUMNS(ins00.* EXCLUDE (cik)), 0), coalesce(n_144, 0) AS n_144 FROM ins00 FULL JOIN n144 ON ins00.cik = n144.cik),
+ins1 AS (SELECT *, buyers >= 2 AS "cluster", n_144 >= 2 AS overhang, CASE WHEN buyers >= 2 AND bought > sold_freely THEN 'bullish' WHEN sold_freely > 0 OR n_144 >= 2 THEN 'bearish' ELSE 'neutral' END AS net, CASE WHEN buyers >= 3 OR bought >= 500000 THEN 'high' WHEN buyers >= 2 OR sold_freely > 0 OR n_144 >= 2 THEN 'medium' ELSE 'low' END AS confidence,
   least(100, buyers * 20 + CASE WHEN bought >= 500000 THEN 20 ELSE 0 END)::BIGINT AS conviction FROM ins0),
 ins AS (SELECT *, round(CASE WHEN "cluster" THEN greatest(0.8, b) ELSE b END * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.75 ELSE 0.5 END, 4)::DOUBLE AS sub_score FROM (SELECT *, CASE net WHEN 'bullish' THEN 1.0 WHEN 'bearish' THEN 0.0 ELSE 0.3 END AS b FROM ins1))"""
+
+
+PEOPLE = people("SELECT NULL::BIGINT AS cik, 0::BIGINT AS n_144 WHERE false")
 ORACLE["insider_profile"] = f"WITH {PEOPLE}\nSELECT * EXCLUDE (b) FROM ins"
 ORACLE["ownership_conversions"] = f"""WITH {FILINGS}, o AS (SELECT cik, accession::BIGINT % 5 AS filer, form, filing_date, pos, contains(form, '13G') AS g, contains(form, '13D') AS dd, (pos % 12)::DOUBLE AS pct FROM filings WHERE contains(form, '13G') OR contains(form, '13D')),
 t AS (SELECT *, dd AND NOT g AND coalesce(max(g::INT) OVER (PARTITION BY cik, filer ORDER BY filing_date, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS turned FROM o)
@@ -356,19 +374,21 @@ ORACLE["fts_probe"] = "SELECT doc_id, array_to_string(list_filter(['license', 'c
 
 # ---- scores -----------------------------------------------------------------
 
-_t2, _, _df2 = delist("has_delisting_notice", "price", "false", "false", "false", "false")
+_within = f"coalesce({DAY} - CAST(last_split AS DATE) <= 365, false)"
+_t2, _, _df2 = delist("has_delisting_notice", "price", "coalesce(n_language > 0, false)", "false", _within, "false")
 _has = lambda name: f"coalesce(list_contains(string_split(up_flags, ';'), {q(name)}), false)"
 YEARS = f"""{PERIODS},
 pt AS (SELECT pf.*, f.market_cap, f.operating_lease_expense, f.pension_expense FROM pf LEFT JOIN f USING (cik, "end")),
 pp AS (SELECT cik, rank, pt AS t, lag(pt) OVER (PARTITION BY cik ORDER BY "end") AS t1, count(*) OVER (PARTITION BY cik) AS n FROM pt)"""
-SIGNALS = f"""{YEARS}, {DILUTION}, {PEOPLE}, {SUSP},
-fun AS (SELECT cik, {EVS} AS ev_sales, {GROWTH} AS revenue_growth, ({PIOTROSKI})::DOUBLE AS piotroski, {Z} AS altman_z, {M} AS beneish_m, {FIN} AS out_of_model, {flags(*UP)} AS up_flags, {d('t.sbc', 't.revenue')} AS sbc_revenue FROM pp JOIN company USING (cik) WHERE rank = 1),
-sig0 AS (SELECT company.*, fun.* EXCLUDE (cik), dil.* EXCLUDE (cik), halted.suspended, ins.net AS insider_net, ins."cluster" AS insider_cluster, ins.confidence AS insider_confidence, ins.sub_score AS pos_insider, tape.has_delisting_notice
-  FROM company LEFT JOIN fun USING (cik) LEFT JOIN dil USING (cik) LEFT JOIN halted USING (cik) LEFT JOIN ins USING (cik) LEFT JOIN tape USING (cik)),
+SIGNALS = f"""{YEARS}, {FOUND}, {people("SELECT cik, count(*) AS n_144 FROM filings WHERE form IN ('144', '144/A') GROUP BY 1")}, {SUSP},
+fun AS (SELECT cik, {EVS} AS ev_sales, {GROWTH} AS revenue_growth, ({PIOTROSKI})::DOUBLE AS piotroski, {Z} AS altman_z, {M} AS beneish_m, {FIN} AS out_of_model, {flags(*UP)} AS up_flags, {d('t.sbc', 't.revenue')} AS sbc_revenue, t.market_cap AS market_cap FROM pp JOIN company USING (cik) WHERE rank = 1),
+{diluted("""LEFT JOIN (SELECT cik, market_cap FROM fun) USING (cik) LEFT JOIN (SELECT cik, "cluster" AND net = 'bullish' AS buying FROM ins) USING (cik)""")},
+sig0 AS (SELECT company.*, fun.* EXCLUDE (cik), dil.* EXCLUDE (cik), halted.suspended, ins.net AS insider_net, ins."cluster" AS insider_cluster, ins.confidence AS insider_confidence, ins.overhang AS insider_overhang, ins.sub_score AS pos_insider, tape.has_delisting_notice, splits.last_split, words.n_language
+  FROM company LEFT JOIN fun USING (cik) LEFT JOIN dil USING (cik) LEFT JOIN halted USING (cik) LEFT JOIN ins USING (cik) LEFT JOIN tape USING (cik) LEFT JOIN splits USING (cik) LEFT JOIN words USING (cik)),
 sig AS (SELECT *, {_t2} AS delisting_tier, {_df2} AS delisting_flags FROM sig0),
 pos AS (SELECT *, round({clamp('(10.0 - ev_sales) / 9.0')}, 4) AS pos_valuation, round({clamp('(revenue_growth + 0.20) / 0.60')}, 4) AS pos_growth, round({clamp('piotroski / 9.0')}, 4) AS pos_fundamental_momentum, NULL::DOUBLE AS pos_sentiment, {health('altman_z')} AS pos_fin_health,
   CASE dilution_severity WHEN 'low' THEN 0.34 WHEN 'medium' THEN 0.67 WHEN 'high' THEN 1.0 END::DOUBLE AS pen_dilution, NULL::DOUBLE AS pen_manipulation, CASE delisting_tier WHEN 'watch' THEN 0.25 WHEN 'deficiency' THEN 0.5 WHEN 'imminent' THEN 0.75 WHEN 'determination' THEN 1.0 END::DOUBLE AS pen_delisting,
-  CASE WHEN suspended THEN 1.0 END::DOUBLE AS pen_halt_suspension, CASE WHEN insider_net = 'bearish' THEN 0.6 * CASE insider_confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.75 ELSE 0.5 END END::DOUBLE AS pen_insider_selling,
+  CASE WHEN suspended THEN 1.0 END::DOUBLE AS pen_halt_suspension, CASE WHEN insider_net = 'bearish' OR insider_overhang THEN least(1.0::DOUBLE, CASE WHEN insider_net = 'bearish' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END + CASE WHEN insider_overhang THEN 0.2::DOUBLE ELSE 0 END) * CASE insider_confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.75 ELSE 0.5 END END::DOUBLE AS pen_insider_selling,
   CASE WHEN altman_z < -3 THEN CASE WHEN out_of_model THEN 0.5 ELSE 1.0 END END::DOUBLE AS pen_distress, CASE WHEN altman_z BETWEEN -3 AND 1 THEN CASE WHEN out_of_model THEN 0.25 ELSE 0.5 END END::DOUBLE AS pen_solvency_watch,
   CASE WHEN beneish_m > -1.78 THEN least(1.0, 0.5 + 0.3 * (beneish_m + 1.78)) * CASE WHEN out_of_model THEN 0.5 ELSE 1.0 END END AS pen_beneish, CASE WHEN {_has('goodwill-impairment')} THEN 0.7 END::DOUBLE AS pen_goodwill_impairment, NULL::DOUBLE AS pen_multiple_compression,
   nullif(0.4 * ({_has('high-leverage')}::INT + {_has('weak-interest-coverage')}::INT), 0)::DOUBLE AS pen_leverage_coverage, CASE WHEN {_has('high-sbc-dilution')} THEN least(1.0, sbc_revenue / 0.20) END AS pen_sbc_dilution FROM sig)"""

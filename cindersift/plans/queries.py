@@ -198,7 +198,7 @@ def auditor_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dilution_score(spark: SparkSession, sf: str) -> DataFrame:
-    d = scan.dilution_profile(derived.share_points(spark, sf), derived.filings(spark, sf), _tape(spark, sf), derived.documents(spark, sf), derived.AS_OF_EVENTS)
+    d = scan.dilution_profile(derived.share_points(spark, sf), derived.filings(spark, sf), _tape(spark, sf), scan.wording(derived.filed_texts(spark, sf), derived.AS_OF_EVENTS), derived.AS_OF_EVENTS)
     return d.select("cik", "dilution_score", "dilution_severity", joined("dilution_flags").alias("dilution_flags"), "serial_splitter")
 
 

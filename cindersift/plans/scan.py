@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import models
+from ..functions.constants import PROBES
+from ..functions.expr import recent
 from ..operators import dilution, events, evidence, facts, insider, market, scoring
 from ..operators.shared import scope, settled, share
+from ..sources import readers
 from . import derived
 
+#: How far back texts are searched for trouble with a listing.
+LANGUAGE_DAYS = 180
+
 
 @dataclass(frozen=True)
 class Request:
@@ -27,17 +33,33 @@ class Request:
     overrides: dict[str, float] = field(default_factory=dict)
 
 
-def dilution_profile(points: DataFrame, filings: DataFrame, tape: DataFrame, texts: DataFrame, as_of: str) -> DataFrame:
-    """The dilution score of each company with any share count or filing; every side is one row a company."""
-    wording = texts.select("cik", dilution.toxic_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0).groupBy("cik").agg(F.count(F.lit(1)).alias("n_toxic"))
-    d = dilution.velocity(points).join(dilution.reverse_splits(points), "cik", "left").join(dilution.registrations(filings, F.lit(as_of).cast("date")), "cik", "full")
-    d = d.join(tape.select("cik", "ever_401", "ever_402", "ever_506"), "cik", "left").join(wording, "cik", "left")
+def wording(filed: DataFrame, as_of: str) -> DataFrame:
+    """How many texts of each company speak of toxic financing, and how many recent ones of trouble with a listing, in
+    one pass over the texts: cik, n_toxic, n_language. ``filed``: cik, form, filing_date, text."""
+    probe, low = PROBES["delisting"], F.lower("text")
+    said = F.exists(F.array(*[F.lit(p.lower()) for p in probe["phrases"]]), lambda p: F.contains(low, p))
+    day = F.lit(as_of).cast("date")
+    late = F.col("form").isin(probe["forms"]) & F.col("filing_date").between(F.date_sub(day, LANGUAGE_DAYS).cast("string"), day.cast("string"))
+    return filed.groupBy("cik").agg(F.count_if(F.size(dilution.toxic_terms(F.col("text"))) > 0).alias("n_toxic"), F.count_if(late & said).alias("n_language"))
+
+
+def dilution_profile(points: DataFrame, filings: DataFrame, tape: DataFrame, words: DataFrame, as_of: str, splits: DataFrame | None = None, values: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+    """The dilution score of each company with any share count or filing; every side is one row a company.
+
+    ``words`` is that of ``wording``. ``values`` (cik, market_cap) tells how large a shelf is, ``people`` (cik,
+    insider_buying) eases the score; without them neither counts.
+    """
+    splits = dilution.reverse_splits(points) if splits is None else splits
+    d = dilution.velocity(points).join(splits, "cik", "left").join(dilution.registrations(filings, F.lit(as_of).cast("date")), "cik", "full")
+    d = d.join(tape.select("cik", "ever_401", "ever_402", "ever_506"), "cik", "left").join(words.select("cik", "n_toxic"), "cik", "left")
+    for side, name, kind in ((values, "market_cap", "double"), (people, "insider_buying", "boolean")):
+        d = d.withColumn(name, F.lit(None).cast(kind)) if side is None else d.join(side.select("cik", name), "cik", "left")
     none = F.lit(None).cast("double")
     fused = dilution.fuse({
-        "shelf_pct": none, "wksi": F.col("wksi"), "active_atm": F.col("active_atm"), "toxic": F.col("n_toxic") > 0, "death_spiral": F.col("death_spiral"), "near_ceiling": F.lit(False), "overhang_pct": none,
+        "shelf_pct": dilution.shelf_share(F.col("max_amount"), F.col("market_cap")), "wksi": F.col("wksi"), "active_atm": F.col("active_atm"), "toxic": F.col("n_toxic") > 0, "death_spiral": F.col("death_spiral"), "near_ceiling": F.lit(False), "overhang_pct": none,
         "n_splits": F.col("n_splits"), "late": F.col("n_late") > 0, "late_escalated": F.col("late_escalated"),
         "shell": dilution.shell_signs(F.lit(False), F.col("ever_506"), none, none, F.col("latest")) >= 2,
-        "restatement": F.col("ever_402") > 0, "churn": F.col("ever_401") >= 2, "insider_buying": F.lit(False),
+        "restatement": F.col("ever_402") > 0, "churn": F.col("ever_401") >= 2, "insider_buying": F.col("insider_buying"),
     })
     return d.select("cik", fused["score"].cast("long").alias("dilution_score"), fused["severity"].alias("dilution_severity"), fused["flags"].alias("dilution_flags"), F.coalesce(F.col("n_splits") >= 2, F.lit(False)).alias("serial_splitter"))
 
@@ -52,7 +74,7 @@ def fundamentals(periods: DataFrame, companies: DataFrame) -> DataFrame:
     up = models.up_market(t)
     return p.select(
         "cik", F.when(value["computable"], value["value"]).alias("ev_sales"), models.growth(t, t1).alias("revenue_growth"), models.piotroski(t, t1)["value"].cast("double").alias("piotroski"),
-        models.altman(t)["value"].alias("altman_z"), models.beneish(t, t1)["value"].alias("beneish_m"), models.is_financial(F.col("sic")).alias("out_of_model"), up["flags"].alias("up_flags"), up["sbc_revenue"].alias("sbc_revenue"),
+        models.altman(t)["value"].alias("altman_z"), models.beneish(t, t1)["value"].alias("beneish_m"), models.is_financial(F.col("sic")).alias("out_of_model"), up["flags"].alias("up_flags"), up["sbc_revenue"].alias("sbc_revenue"), t["market_cap"].alias("market_cap"),
         evidence.fundamentals_notes(F.col("n_ends"), t["end"], evidence.missing_inputs(t)).alias("year_notes"),
     )
 
@@ -81,20 +103,27 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
     filed = share(derived.filings(spark, sf))
     tape = share(events.signals(events.build(filed), F.lit(derived.AS_OF_EVENTS).cast("date")))
     sums = share(derived.activity(spark, sf))
-    people = insider.profile(derived.summed_transactions(sums), times="times").select("cik", F.col("net").alias("insider_net"), F.col("cluster").alias("insider_cluster"), F.col("confidence").alias("insider_confidence"), F.col("overhang").alias("insider_overhang"), F.col("cluster").alias("insider_buying"))
+    notices = readers.form144(filed).groupBy("cik").agg(F.count(F.lit(1)).alias("n_144"))
+    people = insider.profile(derived.summed_transactions(sums), notices, times="times").select("cik", F.col("net").alias("insider_net"), F.col("cluster").alias("insider_cluster"), F.col("confidence").alias("insider_confidence"), F.col("overhang").alias("insider_overhang"), F.col("cluster").alias("insider_buying"))
+    people = share(people)
     halted = market.suspensions_of(companies.select("cik", "name"), derived.suspended(companies), F.lit(derived.AS_OF).cast("date")).select("cik", "suspended")
-    d = dilution_profile(share(derived.share_points(spark, sf)), filed, tape, derived.documents(spark, sf), derived.AS_OF_EVENTS)
-    out = companies.join(fundamentals(periods_of(share(derived.fund(spark, sf, sums))), companies), "cik", "left")
-    for part in (d, people, halted, tape.select("cik", "has_delisting_notice")):
+    points = share(derived.share_points(spark, sf))
+    splits, words = share(dilution.reverse_splits(points)), share(wording(derived.filed_texts(spark, sf), derived.AS_OF_EVENTS))
+    funds = share(fundamentals(periods_of(share(derived.fund(spark, sf, sums))), companies))
+    buying = people.select("cik", (F.col("insider_cluster") & (F.col("insider_net") == "bullish")).alias("insider_buying"))
+    d = dilution_profile(points, filed, tape, words, derived.AS_OF_EVENTS, splits, funds, buying)
+    out = companies.join(funds.drop("market_cap"), "cik", "left")
+    for part in (d, people, halted, tape.select("cik", "has_delisting_notice"), splits.select("cik", "last_split"), words.select("cik", "n_language")):
         out = out.join(part, "cik", "left")
     # The gate asks for a split within the year; a serial splitter of any time does not show one.
+    split = F.col("last_split").isNotNull() & recent(F.lit(derived.AS_OF).cast("date"), F.col("last_split"), 365)
     no = F.lit(False)
-    tier = market.delisting(F.col("has_delisting_notice"), F.col("price"), no, no, no, no)
+    tier = market.delisting(F.col("has_delisting_notice"), F.col("price"), F.col("n_language") > 0, no, split, no)
     seen = F.col("has_delisting_notice").isNotNull() | F.col("price").isNotNull()
     none = F.lit(None)
     noted = evidence.fundamentals_notes(none.cast("long"), none.cast("string"), none.cast("array<string>"))
     out = out.withColumn("completeness", evidence.completeness(none.cast("string"), F.coalesce("year_notes", noted))).drop("year_notes")
-    return out.withColumn("delisting_tier", F.when(seen, tier["tier"])).withColumn("delisting_flags", F.when(seen, tier["flags"])).withColumn("sentiment", F.lit(None).cast("double"))
+    return out.withColumn("delisting_tier", F.when(seen, tier["tier"])).withColumn("delisting_flags", F.when(seen, tier["flags"])).drop("last_split", "n_language").withColumn("sentiment", F.lit(None).cast("double"))
 
 
 def run(signals_: DataFrame, request: Request = Request()) -> tuple[DataFrame, DataFrame]:
