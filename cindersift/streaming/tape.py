@@ -53,7 +53,7 @@ CLOSING, LAST = "", "9999-01-01"
 
 
 class OrderedDiff(StatefulProcessor):
-    """Snapshots of a ticker wait in a map by time; a timer for each time tells it once the watermark has come to it.
+    """Snapshots of a ticker wait in a map by time; a timer at the earliest of them tells all that the watermark has come to.
 
     The state holds what lies between the watermark and the newest row, and the last snapshot told.
     """
@@ -75,7 +75,8 @@ class OrderedDiff(StatefulProcessor):
                 best[r.at] = (r.scanned_at, r.score, flags)
         for at, row in best.items():
             self.waiting.updateValue((at,), tuple(row))
-            self.handle.registerTimer(at)
+        if best:
+            self.handle.registerTimer(min(best))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
@@ -84,16 +85,27 @@ class OrderedDiff(StatefulProcessor):
             return
         # All that is due is told by the first timer, in order, whatever the order in which timers fire.
         until = timerValues.getCurrentWatermarkInMs()
-        ready = sorted(((at[0], *row) for at, row in self.waiting.iterator() if at[0] <= until or at[0] == due), key=lambda r: r[0])
+        ready, later = [], []
+        for at, row in self.waiting.iterator():
+            if at[0] <= until or at[0] == due:
+                ready.append((at[0], *row))
+            else:
+                later.append(at[0])
+        ready.sort(key=lambda r: r[0])
         known = self.last.get() if self.last.exists() else None
         for at, scanned_at, score, flags in ready:
             now = list(flags)
             was = list(known[1]) if known else []
             delta = score - known[0] if known and score is not None and known[0] is not None else None
             yield Row(ticker=key[0], scanned_at=scanned_at, score=score, delta=delta, new_flags=[f for f in now if f not in was] if known else [], cleared_flags=[f for f in was if f not in now] if known else [])
-            self.waiting.removeKey((at,))
+            if later:
+                self.waiting.removeKey((at,))
             known = (score, now)
         self.last.update(known)
+        if later:
+            self.handle.registerTimer(min(later))
+        else:
+            self.waiting.clear()
 
 
 def ordered_diffs(snapshots: DataFrame, late: str = "0 seconds") -> DataFrame:
