@@ -126,3 +126,19 @@ def test_wrapped_notices_are_paragraphs(spark):
     assert [(k, found[k].family, found[k].confirmed) for k, _, _ in rows] == [(k, f, True) for k, _, f in rows]
     assert all(found[k].family == "none" for k, _ in plain) and found[999].family == found[None].family == "none"
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_licences_never_seen_are_unknown_and_prose_is_none(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    zlib = "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    mozilla = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+    unlicense = "This is free and unencumbered software released into the public domain."
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."
+    prose = ["The hall was reserved for the evening, permission came late and drinks were free of charge.", "Public software projects often change their terms without telling anyone.", "She asked for permission to copy the file and was told to wait.", "All the rights he had were reserved for his children."]
+    known = {"mit": "Released under the MIT License.", "bsd": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "proprietary": "All rights reserved."}
+    rows = [(i, t) for i, t in enumerate([isc, zlib, mozilla, unlicense, lesser])] + [(100 + i, t) for i, t in enumerate(prose)] + [(200 + i, t) for i, t in enumerate(known.values())]
+    model = licenses.train(spark, table(spark, FOLDER, "documents"))
+    found = {r.doc_id: r.family for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    assert [found[i] for i in range(5)] == ["unknown"] * 5
+    assert [found[100 + i] for i in range(len(prose))] == ["none"] * len(prose)
+    assert [found[200 + i] for i in range(len(known))] == list(known)
