@@ -164,10 +164,41 @@ def notices() -> list[tuple[str, str, bool, float]]:
 
 
 class Model:
-    """Classes, bias of each, weights ``{term: weights}``, and the probability from which a family stands."""
+    """Classes, bias of each, weights ``{term: weights}``, the probability from which a family stands, and terms of
+    which a paragraph must have one not to be ``none``."""
 
-    def __init__(self, classes: list[str], bias: list[float], weights: dict[str, list[float]], bar: float):
+    def __init__(self, classes: list[str], bias: list[float], weights: dict[str, list[float]], bar: float, seen: dict[str, int]):
         self.classes, self.bias, self.weights, self.bar = classes, bias, weights, bar
+        self.cues = _cues(bias, weights, seen)
+
+
+def _cues(bias: list[float], weights: dict[str, list[float]], seen: dict[str, int]) -> list[str]:
+    """Terms of which each paragraph that is not ``none``, the last class, has one.
+
+    What speaks for a class is the lead of its weight over that of ``none``. Terms are left out as long as all of
+    them together, for each class, lead by less than its bias is behind: those first that ordinary lines have
+    often (``seen``) for the little they lead.
+    """
+    gap = [bias[-1] - b for b in bias[:-1]]
+    if min(gap) <= 0:
+        return sorted(weights)
+    lead = {t: [max(0.0, v - w[-1]) for v in w[:-1]] for t, w in weights.items() if max(w[:-1]) > w[-1]}
+    spent, kept = [0.0] * len(gap), []
+    for t in sorted(lead, key=lambda t: (-seen.get(t, 0) / max(lead[t]), t)):
+        more = [x + y for x, y in zip(spent, lead[t], strict=True)]
+        if all(x < g - 1e-6 for x, g in zip(more, gap, strict=True)):
+            spent = more
+        else:
+            kept.append(t)
+    return kept
+
+
+def _pattern(cues: list[str]) -> str:
+    """A pattern of the cues as whole words, by first letter, so that a word is held against few of them."""
+    by_letter: dict[str, list[str]] = {}
+    for t in sorted(cues):
+        by_letter.setdefault(t[0], []).append(r"[^a-z0-9]+".join(map(re.escape, t.split()))[len(re.escape(t[0])) :])
+    return r"(?<![a-z0-9])(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in by_letter.items()) + r")(?![a-z0-9])" if cues else "(?!)"
 
 
 def train(spark: SparkSession, docs: DataFrame, text: str = "text", most: int = MAX_DOCS) -> Model:
@@ -191,6 +222,8 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", most: int =
     told = fitted.transform(table.where("held AND label <= %d" % len(TEMPLATES))).where("prediction < %d" % len(TEMPLATES))
     sure = [(r[0], r[1]) for r in told.select(F.col("label") == F.col("prediction"), F.array_max(vector_to_array("probability"))).collect()]
     right, wrong = (sorted(p for good, p in sure if good == want) for want in (True, False))
+    ordinary = rows.where("label = %d" % (len(classes) - 1)).select(F.explode("terms").alias("term")).where(F.col("term").isin(list(weights)))
+    seen = {r["term"]: r["count"] for r in ordinary.groupBy("term").count().collect()}
     rows.unpersist()
     plain.unpersist()
     bars = [LEAST]
@@ -198,17 +231,15 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", most: int =
         bars.append(right[int((1 - PASS) * len(right))])
     if wrong:
         bars.append(wrong[min(len(wrong) - 1, int(STOP * len(wrong)))] + 1e-6)
-    return Model(classes, [round(float(b), 6) for b in fitted.interceptVector.toArray()], weights, round(min(max(bars), MOST), 6))
+    return Model(classes, [round(float(b), 6) for b in fitted.interceptVector.toArray()], weights, round(min(max(bars), MOST), 6), seen)
 
 
 def paragraphs(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Licence paragraphs of ``docs(row, text)``: row, at (line number), line, family, probability, confirmed."""
     spark = docs.sparkSession
     weights = spark.createDataFrame([(t, *w) for t, w in model.weights.items()] or [("", *[0.0] * len(model.classes))], "term string, " + ", ".join(f"w{i} double" for i in range(len(model.classes))))
-    # A paragraph is none unless a term speaks for something else, where the biases alone do not.
-    sure = all(b < model.bias[-1] for b in model.bias[:-1])
-    cue = "|".join(sorted({r"[^a-z0-9]+".join(map(re.escape, t.split())) for t, w in model.weights.items() if max(w[:-1]) > w[-1] or not sure})) or "(?!)"
-    lines = docs.where(F.lower(text).rlike(rf"(?<![a-z0-9])(?:{cue})(?![a-z0-9])")).select("row", F.posexplode(lines_of(F.col(text))).alias("at", "line")).where(F.lower("line").rlike(rf"(?<![a-z0-9])(?:{cue})(?![a-z0-9])"))
+    cue = _pattern(model.cues)
+    lines = docs.where(F.lower(text).rlike(cue)).select("row", F.posexplode(lines_of(F.col(text))).alias("at", "line")).where(F.lower("line").rlike(cue))
     grams = lines.select("row", "at", "line", F.explode(F.array_distinct(terms_of(F.col("line")))).alias("term"))
     sums = grams.join(F.broadcast(weights), "term").groupBy("row", "at", "line").agg(*[(F.sum(f"w{i}") + F.lit(b)).alias(f"z{i}") for i, b in enumerate(model.bias)])
     z = F.array(*[f"z{i}" for i in range(len(model.classes))])
