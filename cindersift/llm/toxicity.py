@@ -130,12 +130,14 @@ class Machine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MAX_FIT) -> Machine:
-    """Fit on labelled documents: at most ``most``, the bound of what the driver holds; null labels and texts teach nothing. A document labelled both ways is toxic."""
+    """Fit on labelled documents: at most ``most``, the bound of what the driver holds; null labels and texts teach nothing. A document labelled both ways is toxic. Ids may be of any type; rows that repeat an id are learned in the order of their terms."""
     marked = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     halves = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
     given = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    rows = given.join(F.broadcast(chosen), "doc_id").mapInPandas(_bucketed, "doc_id long, toxic int, x array<long>").orderBy("doc_id").toLocalIterator()
+    joined = given.join(F.broadcast(chosen), "doc_id")
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    rows = joined.mapInPandas(_bucketed, f"doc_id {kind}, toxic int, x array<long>").orderBy("doc_id", "x").toLocalIterator()
     texts, marks = [], []
     for r in rows:
         texts.append(np.array(r["x"], np.int64))

@@ -142,3 +142,10 @@ def test_licences_never_seen_are_unknown_and_prose_is_none(spark):
     assert [found[i] for i in range(5)] == ["unknown"] * 5
     assert [found[100 + i] for i in range(len(prose))] == ["none"] * len(prose)
     assert [found[200 + i] for i in range(len(known))] == list(known)
+
+
+def test_toxicity_with_ids_of_text_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(f"d{i // 2}", f"bad awful words {i}" if i // 2 % 2 else f"good plain words {i}") for i in range(120)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)], "doc_id string, toxic int")
+    one, two = (sorted((r.doc_id, r.score) for r in toxicity.digest(d, labels).collect()) for d in (docs, docs.orderBy(F.desc("text"))))
+    assert one == two and len(one) == 120
