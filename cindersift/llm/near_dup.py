@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written, with_ids
@@ -32,10 +32,10 @@ PICKED, SKETCHES = 2, 28
 SHORT, SHORT_SHINGLE, SHORT_SKETCHES = 60, 2, 8
 #: Least edit similarity of words, 1 - distance / longer length.
 SIMILAR = 0.85
-#: A group of a sketch with at most so many members has those unlike its heads compared with all the others.
+#: Members of groups up to this size are paired at once, those of larger ones only if they share a rare k-mer too; both find the same pairs.
 PAIRED = 16
-#: Once those unlike the heads of larger groups have at most so many others a node to be compared with, they are compared with all.
-PAIRS_A_NODE = 32
+#: Words in the k-mers of which two alike members of a larger group share a rare one.
+FINE = 3
 #: Counters of a text's words by hash; a bound of the distance that needs no text.
 BAG = 128
 #: Words that are sketched at once.
@@ -121,19 +121,6 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def families(hashes: np.ndarray, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """K-mers, places of the picked ones and keys of one text, for each length of k-mers, without the k-mers of
-    the sorted array ``common``."""
-    for family, (size, n) in enumerate(((SHINGLE, SKETCHES), (SHORT_SHINGLE, SHORT_SKETCHES))):
-        if family == 0 or len(hashes) <= SHORT:
-            grams, _ = kmers(hashes, np.array([len(hashes)]), size)
-            if len(common):
-                grams = grams[common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams]
-            if len(grams):
-                chosen = picks(grams, np.zeros(len(grams), np.int64), 1, n=n)
-                yield grams, chosen[:, 0], sketched_keys(grams, chosen, family)[0]
-
-
 def banded(a: list[int], b: list[int], w: int) -> int:
     """Edit distance of two word sequences by paths within ``w`` diagonals of the main one, the bits of a band at once.
 
@@ -258,19 +245,24 @@ def _verified(least: float):
     return run
 
 
-def _again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keys of texts sketched without the k-mers ``dropped`` and those that made their keys ``wanted``, and all these k-mers."""
-    known = WordHashes()
-    for batch in batches:
-        keys, dropped = [], []
-        for text, wanted, before in zip(batch["text"], batch["wanted"], batch["dropped"], strict=True):
-            hashes = known.of(WORD.findall(text.lower()))
-            gone = np.sort(np.asarray(before, np.int64).view(np.uint64))
-            made = [grams[chosen[np.isin(own, wanted)]].ravel() for grams, chosen, own in families(hashes, gone)]
-            gone = np.unique(np.concatenate([gone, *made]))
-            keys.append(np.concatenate([np.empty(0, np.int64), *(own for _, _, own in families(hashes, gone))]))
-            dropped.append(gone.view(np.int64))
-        yield pd.DataFrame({"node": batch["doc_id"], "keys": keys, "dropped": dropped})
+def _told(least: float):
+    """All k-mers of texts, and how many of the rarest of them two alike texts have one in common of.
+
+    An edit takes at most ``FINE`` k-mers from a text. Of two alike texts the longer one has at most its share of
+    edits, and so the rarest ``FINE`` for each edit and ``FINE`` more of each hold a common one, whatever is rare.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            grams, most = [], []
+            for text in batch["text"]:
+                hashes = known.of(WORD.findall(text.lower()))
+                grams.append(kmers(hashes, np.array([len(hashes)]), FINE)[0].view(np.int64))
+                most.append(FINE * (int((1 - least) * len(hashes) + 1e-9) + 1))
+            yield pd.DataFrame({"node": batch["doc_id"], "most": most, "grams": grams})
+
+    return run
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
@@ -319,58 +311,71 @@ def _compared(links: DataFrame, bags: DataFrame, d: DataFrame, least: float) ->
     return written(pairs.mapInPandas(_verified(least), "a long, b long"))
 
 
+def _rare(members: DataFrame, d: DataFrame, least: float) -> DataFrame:
+    """Groups of the nodes ``members`` by their rarest k-mers, ``(key, node)``; two that are alike are in one of them."""
+    told = written(_texts(d, members).mapInPandas(_told(least), "node long, most int, grams array<long>"))
+    each = told.select("node", "most", F.size("grams").alias("n"), F.explode("grams").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    own = Window.partitionBy("node")
+    met = each.join(often, "key").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("often", "key")))
+    return written(met.where("alone + nth <= most").select("node", "key"))
+
+
+def _crossed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of members of one group that are not in one class yet; of each, one is not in the class of the group's first member."""
+    named = written(_with_label(_with_label(met, labels, "lo"), labels, "node").select("key", "node", "of_node", "of_lo"))
+    odd = named.where("of_node <> of_lo").select("key", "node", "of_node")
+    others = named.select("key", F.col("node").alias("other"), F.col("of_node").alias("of_other"))
+    return _pairs(odd.join(others, "key").where("of_node <> of_other"), F.col("other"))
+
+
 def _searched(nodes: DataFrame, d: DataFrame, least: float) -> DataFrame:
     """Verified links ``(a, b)`` that hold the classes of ``nodes`` together.
 
-    Each node is compared with the least of the first members of its groups, then with the first and the last
-    of all its groups that are not of its class yet. Of a small group, those unlike both are then compared
-    with all the others; of all groups, as soon as these comparisons are ``PAIRS_A_NODE`` for each node of the table or fewer. The members of
-    larger groups that hold such nodes share words which many texts have. Each of them is sketched again without
-    the k-mers that made its own large groups, which it tells from its own text, and so on until no large group
-    with unlike members is left. Every round takes a k-mer from each text in it, so the rounds end.
+    The classes are those of all pairs that share a sketch and are alike, whatever the size of the table or of a
+    group. Each node is compared with the least of the first members of its groups, then with the first and the
+    last of all its groups that are not of its class yet. Where a group still has members of several classes,
+    all its pairs of different classes are compared; in a group above ``PAIRED`` only those that share one of
+    their rarest k-mers, as all that are alike do, so that what many texts have in common makes no pairs.
     """
-    bags = nodes.select("node", "bag", "n_words")
-    found, tried, dropped, small, n_nodes = None, None, None, PAIRED, nodes.count()
-    met = _met(_groups(nodes))
-    while True:
+    bags, keys = nodes.select("node", "bag", "n_words"), nodes.select("node", "keys")
+    tried = found = None
+
+    def compare(links: DataFrame, shared: bool = True) -> None:
+        nonlocal tried, found
+        links = written(links if tried is None else links.join(tried, ["a", "b"], "left_anti"))
+        if tried is not None and links.isEmpty():
+            return
+        held = _compared(links, bags, d, least)
+        if not shared:
+            side = lambda c: keys.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
+            held = written(held.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b"))
+        tried, found = (links, held) if tried is None else (written(tried.unionByName(links)), written(found.unionByName(held)))
+
+    def heads(met: DataFrame, shared: bool = True) -> DataFrame:
         first = met.where("node <> lo").groupBy(F.col("node").alias("a")).agg(F.min("lo").alias("b"))
-        first = written(first if tried is None else first.join(tried, ["a", "b"], "left_anti"))
-        alike_ = _compared(first, bags, d, least)
-        tried, found = (first, alike_) if tried is None else (written(tried.unionByName(first)), written(found.unionByName(alike_)))
-        links = written(_apart(_pairs(met, F.explode(F.array("lo", "hi"))).join(tried, ["a", "b"], "left_anti"), _labels(found)))
-        if not links.isEmpty():
-            tried, found = written(tried.unionByName(links)), written(found.unionByName(_compared(links, bags, d, least)))
-        labels = _labels(found)
-        inner = met.where("size > 3 AND node <> lo AND node <> hi")
-        for name in ("lo", "hi", "node"):
-            inner = _with_label(inner, labels, name)
-        unlike = written(inner.where("of_node <> of_lo AND of_node <> of_hi").select("key", "node", "size"))
-        if (unlike.where(F.col("size") > small).agg(F.sum("size")).first()[0] or 0) <= PAIRS_A_NODE * n_nodes:
-            small = n_nodes
-        few = unlike.where(F.col("size") <= small).join(met.where((F.col("size") <= small) & (F.col("size") > 3)).select("key", F.col("node").alias("other")), "key")
-        links = written(_apart(_pairs(few, F.col("other")).join(tried, ["a", "b"], "left_anti"), labels))
-        if not links.isEmpty():
-            tried, found = written(tried.unionByName(links)), written(found.unionByName(_compared(links, bags, d, least)))
-        large = unlike.where(F.col("size") > small).select("key").distinct()
-        left = met.join(large, "key").groupBy(F.col("node").alias("doc_id")).agg(F.collect_set("key").alias("wanted"))
-        none = F.array().cast("array<long>")
-        if dropped is None:
-            left = left.withColumn("dropped", none)
-        else:
-            left = left.join(dropped, "doc_id", "left").withColumn("dropped", F.coalesce("dropped", none))
-        left = written(left)
-        if left.isEmpty():
-            return found
-        sketched = written(_texts(d, left.select("doc_id")).join(left, "doc_id").select("doc_id", "text", "wanted", "dropped").mapInPandas(_again, "node long, keys array<long>, dropped array<long>"))
-        dropped = sketched.select(F.col("node").alias("doc_id"), "dropped")
-        met = _met(_groups(sketched))
+        compare(first if found is None else _apart(first, _labels(found)), shared)
+        compare(_apart(_pairs(met, F.explode(F.array("lo", "hi"))), _labels(found)), shared)
+        return _labels(found)
+
+    met = _met(_groups(nodes))
+    labels = heads(met)
+    compare(_crossed(met.where((F.col("size") > 3) & (F.col("size") <= PAIRED)), labels))
+    labels = _labels(found)
+    named = _with_label(_with_label(met.where(F.col("size") > PAIRED), labels, "lo"), labels, "node")
+    mixed_ = named.where("of_node <> of_lo").select("key").distinct()
+    members = written(met.join(mixed_, "key").select(F.col("node").alias("doc_id")).distinct())
+    if not members.isEmpty():
+        fine = _met(_rare(members, d, least))
+        compare(_crossed(fine, heads(fine, False)), False)
+    return found
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """``(doc_id, class_id)`` for each document of ``docs`` with an id; the class id is its smallest document id.
 
     Copies, texts with the same words but for case and white space, are one node of the graph; nodes of one
-    sketch are linked to the first and the last of them, those unlike both by ``_searched``, and each distinct
+    sketch are linked to the first and the last of them, those of other classes by ``_searched``, and each distinct
     link is verified once. Whole texts are compared, also very long ones: a pair costs its length times the
     width of the band over the bits of a machine word. Texts that are null or have no word are classes of their own. A document is known by its
     id: rows that repeat an id should agree, and give one result row. Rows without an id are left out. Integer ids only.

@@ -4,7 +4,7 @@ import numpy as np
 
 from cindersift.llm import near_dup, passages
 from cindersift.llm.graph import components
-from cindersift.llm.tokens import runs
+from cindersift.llm.tokens import WordHashes, runs
 
 
 def corpus(seed=3, n=30, size=160):
@@ -82,6 +82,28 @@ def test_near_pairs_inside_a_boilerplate_group_are_found(spark):
     got = {r.doc_id: r.class_id for r in near_dup.classes(docs, least=0.95).collect()}
     assert got == {i: i for i in range(60)} | {b: a for a, b in pairs}
 
+def test_classes_do_not_depend_on_the_size_of_table_or_groups(spark, monkeypatch):
+    rng, (shared, *own) = corpus(33, 81, 60)
+    texts = [own[k][:40] + shared[:30] for k in range(60)]
+    for a in range(10, 30):
+        texts[a + 25] = edited(rng, texts[a], 6)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = [set(near_dup.sketches(code(t), np.array([len(t)]))[0].tolist()) for t in texts]
+    near = [(b, a) for a in range(60) for b in range(a) if sketch[a] & sketch[b] and near_dup.alike(code(texts[a]), code(texts[b]))]
+    label = list(range(60))
+    for a, b in sorted(near):
+        label = [label[a] if x == label[b] else x for x in label]
+    assert sum(i != x for i, x in enumerate(label)) >= 10
+    for paired in (2, 1000):
+        monkeypatch.setattr(near_dup, "PAIRED", paired)
+        got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
+        assert got == {i: min(j for j in range(60) if label[j] == label[i]) for i in range(60)}, paired
+
+
+def code(words):
+    return WordHashes().of([w.lower() for w in words])
+
 
 def test_recall_at_the_threshold():
     rng = random.Random(8)
