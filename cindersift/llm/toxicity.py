@@ -24,8 +24,8 @@ BITS, FACTORS = 17, 4
 EPOCHS, RATE, DECAY = 15, 0.3, 1e-3
 #: A bucket is used if so many training texts have it and its chi-square against the label is at least so large.
 LEAST_TEXTS, LEAST_CHI2 = 5, 12.0
-#: The same of a pair of buckets, of which there are many more; texts and buckets of pairs that are counted at once.
-LEAST_PAIR_CHI2, BLOCK = 100.0, 512
+#: The same of a pair of buckets, of which there are many more.
+LEAST_PAIR_CHI2 = 100.0
 TERM = re.compile(r"\w+")
 
 
@@ -55,7 +55,8 @@ def _telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
     A pair counts if it tells more than twice as much as each of the two, so that a term which tells nothing by
     itself, as the mention of a group, is known where its company makes the difference. All pairs of buckets
-    that are frequent in toxic texts are looked at, in blocks.
+    that are frequent in toxic texts are looked at, those of one bucket at once, from the texts that hold it; the
+    memory that takes grows with the buckets of the texts, not with their pairs.
     """
     toxic = [x for x, y in zip(texts, labels, strict=True) if y]
     n, p = len(texts), len(toxic)
@@ -66,20 +67,19 @@ def _telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     often = np.flatnonzero(a >= LEAST_TEXTS)
     place = np.full(1 << BITS, -1)
     place[often] = np.arange(len(often))
-    for at in range(0, len(often), BLOCK):
-        block = slice(at, at + BLOCK)
-        both, bad = (np.zeros((len(often[block]), len(often))) for _ in range(2))
-        for k in range(0, n, BLOCK):
-            rows = np.zeros((len(texts[k : k + BLOCK]), len(often)), np.float32)
-            for i, x in enumerate(texts[k : k + BLOCK]):
-                own = place[x]
-                rows[i, own[own >= 0]] = 1
-            left = rows[:, block].T
-            both += left @ rows
-            bad += (left * labels[k : k + BLOCK].astype(np.float32)) @ rows
-        least = np.maximum(LEAST_PAIR_CHI2, 2 * np.maximum(alone[often[block]][:, None], alone[often][None, :]))
-        one, two = np.nonzero((both >= LEAST_TEXTS) & (_chi2(bad, both, p, n) >= least))
-        known[often[block][one]] = known[often[two]] = True
+    own = [x[x >= 0] for x in (place[x] for x in texts)]
+    of_text = np.repeat(np.arange(n), [len(x) for x in own])
+    order = np.argsort(np.concatenate(own), kind="stable")
+    holders = np.split(of_text[order], np.cumsum(np.bincount(np.concatenate(own), minlength=len(often)))[:-1]) if len(often) else []
+    marked = np.asarray(labels, bool)
+    for k, rows in enumerate(holders):
+        both = np.bincount(np.concatenate([own[i] for i in rows]), minlength=len(often))
+        two = np.flatnonzero(both >= LEAST_TEXTS)
+        bad = np.bincount(np.concatenate([np.empty(0, np.int64), *(own[i] for i in rows[marked[rows]])]), minlength=len(often))[two].astype(float)
+        least = np.maximum(LEAST_PAIR_CHI2, 2 * np.maximum(alone[often[k]], alone[often[two]]))
+        tell = two[_chi2(bad, both[two].astype(float), p, n) >= least]
+        if len(tell):
+            known[often[k]] = known[often[tell]] = True
     return known
 
 

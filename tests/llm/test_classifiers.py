@@ -149,3 +149,18 @@ def test_toxicity_with_ids_of_text_and_repeated_ids(spark):
     labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)], "doc_id string, toxic int")
     one, two = (sorted((r.doc_id, r.score) for r in toxicity.digest(d, labels).collect()) for d in (docs, docs.orderBy(F.desc("text"))))
     assert one == two and len(one) == 120
+
+
+def test_telling_pairs_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    texts = [np.unique(rng.integers(0, 1 << toxicity.BITS, 40 if k % 20 else 20000)) for k in range(400)]
+    labels = np.array([float(k % 20 == 0) for k in range(400)])
+    for k in range(100, 300):
+        texts[k] = np.unique(np.append(texts[k], [5, 9] if labels[k] else [5 if k % 2 else 9]))
+    tracemalloc.start()
+    known = toxicity._telling(texts, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert known[5] and known[9] and peak < 150e6
