@@ -32,12 +32,14 @@ PICKED, SKETCHES = 2, 28
 SHORT, SHORT_SHINGLE, SHORT_SKETCHES = 60, 2, 8
 #: Least edit similarity of words, 1 - distance / longer length.
 SIMILAR = 0.85
-#: Members of groups up to this size are paired at once, those of larger ones only if they share a rare k-mer too; both find the same pairs.
+#: Members of groups up to this size are paired by a join, those of larger ones in blocks; both find the same pairs.
 PAIRED = 16
-#: Words in the k-mers of which two alike members of a larger group share a rare one.
+#: Members of a block; larger groups are parted by rare k-mers first, which loses no alike pair.
+BLOCK = 2048
+#: Words in the k-mers of which two alike members of such a group share a rare one.
 FINE = 3
-#: Counters of a text's words by hash; a bound of the distance that needs no text.
-BAG = 128
+#: Counters of a text's words by hash; a bound of the distance that needs no text. Members of large groups have more of them.
+BAG, WIDE = 128, 1024
 #: Words that are sketched at once.
 CHUNK = 200_000
 
@@ -245,6 +247,46 @@ def _verified(least: float):
     return run
 
 
+def _widened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = WordHashes()
+    for batch in batches:
+        parts = [known.of(WORD.findall(text.lower())) for text in batch["text"]]
+        bags = [np.minimum(np.bincount((x % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), 255).astype(np.uint8).tobytes() for x in parts]
+        yield pd.DataFrame({"node": batch["doc_id"], "wide": bags, "n_words": np.array([len(x) for x in parts], np.int32)})
+
+
+def _bounded(least: float):
+    """Pairs of a block that can be alike and are of different classes; of a block of two parts, those across them.
+
+    Rows lie in order of length, so that each meets only those that are not too long for it; a coarse bag is
+    compared first, then the wide one of what is left. Of the groups that two nodes share the least key tells them.
+    """
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("n_words", kind="stable")
+        wide = np.frombuffer(b"".join(block["wide"]), np.uint8).reshape(-1, WIDE).astype(np.int16)
+        few = wide.reshape(len(wide), -1, BAG).sum(axis=1, dtype=np.int16)
+        node, label, part, n = (block[c].to_numpy() for c in ("node", "label", "part", "n_words"))
+        key, keys = block["key"].iat[0], [set(x) for x in block["keys"]]
+        whole = block["low"].iat[0] == block["high"].iat[0]
+        most = ((1 - least) * n + 1e-9).astype(np.int64)
+        reach = np.searchsorted(n - most, n, side="right")
+        one, two = [], []
+        for i in range(len(n)):
+            near = i + 1 + np.flatnonzero((label[i + 1 : reach[i]] != label[i]) & (whole | (part[i + 1 : reach[i]] != part[i])))
+            for bags in (few, wide):
+                spare = bags[near] - bags[i]
+                more = np.maximum(spare, 0).sum(axis=1)
+                near = near[np.maximum(more, more - spare.sum(axis=1)) <= most[near]]
+            near = np.array([j for j in near if min(keys[i] & keys[j]) == key], np.int64)
+            one.append(np.full(len(near), node[i]))
+            two.append(node[near])
+        one, two = np.concatenate(one), np.concatenate(two)
+        return pd.DataFrame({"a": np.maximum(one, two), "b": np.minimum(one, two)})
+
+    return run
+
+
 def _told(least: float):
     """All k-mers of texts, and how many of the rarest of them two alike texts have one in common of.
 
@@ -270,8 +312,9 @@ def _groups(nodes: DataFrame) -> DataFrame:
 
 
 def _met(groups: DataFrame) -> DataFrame:
-    """The members of groups of two or more, with the first, the last and the number of the group."""
-    ends = written(groups.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi"))
+    """The members of groups of two or more, with the first, the last and the number of the group; of groups with the same members one."""
+    ends = groups.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("all")).where("lo < hi")
+    ends = written(ends.groupBy("lo", "hi", "size", "all").agg(F.min("key").alias("key")).drop("all"))
     return written(groups.join(ends, "key"))
 
 
@@ -329,14 +372,34 @@ def _crossed(met: DataFrame, labels: DataFrame) -> DataFrame:
     return _pairs(odd.join(others, "key").where("of_node <> of_other"), F.col("other"))
 
 
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of groups that have members of several classes, with their class."""
+    named = written(_with_label(_with_label(met, labels, "lo"), labels, "node").select("key", "node", "size", F.col("of_node").alias("label"), "of_lo"))
+    return written(named.join(named.where("label <> of_lo").select("key").distinct(), "key", "left_semi").select("key", "node", "size", "label"))
+
+
+def _blocked(mixed_: DataFrame, d: DataFrame, least: float) -> DataFrame:
+    """Pairs of members of one group that are not in one class and can be alike by their bags.
+
+    A group above ``BLOCK`` is dealt to parts, and each two parts are a block; a task holds two parts at most.
+    """
+    wide = written(_texts(d, written(mixed_.select(F.col("node").alias("doc_id")).distinct())).mapInPandas(_widened, "node long, wide binary, n_words int"))
+    wide = written(wide.join(mixed_.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"))
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = mixed_.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "label", "part").join(wide, "node")
+    return rows.groupBy("key", "low", "high").applyInPandas(_bounded(least), "a long, b long")
+
+
 def _searched(nodes: DataFrame, d: DataFrame, least: float) -> DataFrame:
     """Verified links ``(a, b)`` that hold the classes of ``nodes`` together.
 
     The classes are those of all pairs that share a sketch and are alike, whatever the size of the table or of a
     group. Each node is compared with the least of the first members of its groups, then with the first and the
-    last of all its groups that are not of its class yet. Where a group still has members of several classes,
-    all its pairs of different classes are compared; in a group above ``PAIRED`` only those that share one of
-    their rarest k-mers, as all that are alike do, so that what many texts have in common makes no pairs.
+    last of all its groups, and the shortest of the large ones, that are not of its class yet. Where a group still
+    has members of several classes, all its pairs of different classes are compared: in a group above ``PAIRED``
+    by their bags in the tasks that hold a block, so that only pairs that can be alike become rows. A group above
+    ``BLOCK`` is parted first: all alike members share one of their rarest k-mers.
     """
     bags, keys = nodes.select("node", "bag", "n_words"), nodes.select("node", "keys")
     tried = found = None
@@ -352,22 +415,22 @@ def _searched(nodes: DataFrame, d: DataFrame, least: float) -> DataFrame:
             held = written(held.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b"))
         tried, found = (links, held) if tried is None else (written(tried.unionByName(links)), written(found.unionByName(held)))
 
-    def heads(met: DataFrame, shared: bool = True) -> DataFrame:
+    def searched(met: DataFrame, shared: bool = True) -> DataFrame:
+        """Compares the members of groups with heads and those of groups up to ``PAIRED`` with each other; the larger mixed groups are left."""
         first = met.where("node <> lo").groupBy(F.col("node").alias("a")).agg(F.min("lo").alias("b"))
         compare(first if found is None else _apart(first, _labels(found)), shared)
-        compare(_apart(_pairs(met, F.explode(F.array("lo", "hi"))), _labels(found)), shared)
-        return _labels(found)
-
-    met = _met(_groups(nodes))
-    labels = heads(met)
-    compare(_crossed(met.where((F.col("size") > 3) & (F.col("size") <= PAIRED)), labels))
-    labels = _labels(found)
-    named = _with_label(_with_label(met.where(F.col("size") > PAIRED), labels, "lo"), labels, "node")
-    mixed_ = named.where("of_node <> of_lo").select("key").distinct()
-    members = written(met.join(mixed_, "key").select(F.col("node").alias("doc_id")).distinct())
+        large = met.where(F.col("size") > PAIRED)
+        shortest = large.join(nodes.select("node", "n_words"), "node").groupBy("key").agg(F.min(F.struct("n_words", "node"))["node"].alias("head"))
+        heads = met.select("node", F.explode(F.array("lo", "hi")).alias("head")).unionByName(large.join(shortest, "key").select("node", "head"))
+        compare(_apart(_pairs(heads, F.col("head")), _labels(found)), shared)
+        compare(_crossed(met.where((F.col("size") > 3) & (F.col("size") <= PAIRED)), _labels(found)), shared)
+        return _mixed(large, components(found))
+
+    left = searched(_met(_groups(nodes)))
+    compare(_blocked(left.where(F.col("size") <= BLOCK), d, least))
+    members = written(left.where(F.col("size") > BLOCK).select(F.col("node").alias("doc_id")).distinct())
     if not members.isEmpty():
-        fine = _met(_rare(members, d, least))
-        compare(_crossed(fine, heads(fine, False)), False)
+        compare(_blocked(searched(_met(_rare(members, d, least)), False), d, least), False)
     return found
 
 

@@ -101,6 +101,27 @@ def test_classes_do_not_depend_on_the_size_of_table_or_groups(spark, monkeypatch
         assert got == {i: min(j for j in range(60) if label[j] == label[i]) for i in range(60)}, paired
 
 
+def test_unlike_texts_of_a_large_group_make_no_rows(spark, monkeypatch):
+    rng, (shared, *own) = corpus(34, 201, 160)
+    texts = [own[k][:40] + shared[:120] for k in range(200)]
+    for a in range(60, 90):
+        texts[a + 60] = edited(rng, texts[a], 8)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts, compared = [], near_dup._compared
+
+    def counted(links, *rest):
+        counts.append(links.count())
+        return compared(links, *rest)
+
+    monkeypatch.setattr(near_dup, "_compared", counted)
+    want = {i: i for i in range(200)} | {a + 60: a for a in range(60, 90)}
+    for block in (2048, 40):  # a group is one block; groups are parted by rare k-mers and dealt to several blocks
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        counts.clear()
+        assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == want, block
+        assert max(counts[2:]) < 5 * len(texts), (block, counts)
+
+
 def code(words):
     return WordHashes().of([w.lower() for w in words])
 
