@@ -202,6 +202,18 @@ def test_repeated_passages_against_brute_force(spark):
     assert by_doc[0].start_word <= 20 and by_doc[0].end_word >= 90
 
 
+def test_passages_that_share_only_keys_with_unlike_heads(spark):
+    # Every key that 400 and 401 share has a smaller and a larger document with 44 of its 50 words at most.
+    rng = random.Random(0)
+    vocab = [f"w{i}" for i in range(4000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared = some(50)
+    docs = {k: some(30) + shared + some(30) for k in (400, 401)}
+    docs |= {k: some(30) + shared[k % 4 :][: 44 - k % 3] + some(30) for k in (*range(6), *range(990, 996))}
+    got = passages.repeated(spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {400: 400, 401: 400}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert passages.repeated(none).count() == 0 and near_dup.classes(none).count() == 0 and near_dup.keep_one(none).count() == 0
