@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from cindersift.llm import near_dup, passages
 from cindersift.llm.graph import components
@@ -214,6 +215,53 @@ def test_passages_that_share_only_keys_with_unlike_heads(spark):
     assert {r.doc_id: r.class_id for r in got} == {400: 400, 401: 400}
 
 
+def test_unlike_windows_of_one_key_make_few_links(spark, monkeypatch):
+    # All documents share 40 words, too few to be alike, so all their windows of those keys differ; two have the 50 whole.
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(9000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared = some(50)
+    docs = {k: some(30) + shared[5:45] + some(30) for k in range(80)} | {k: some(30) + shared + some(30) for k in (40, 41)}
+    compared, links = passages._compared, []
+    monkeypatch.setattr(passages, "_compared", lambda asked, *more: links.append(asked.count()) or compared(asked, *more))
+    got = passages.repeated(spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {40: 40, 41: 40}
+    assert sum(links) < 6 * len(docs)
+
+
+@pytest.mark.parametrize("width,letters", [(10, 9), (10, 400), (46, 5000)])
+def test_alike_starts_share_a_first_token(width, letters):
+    rng = random.Random(width * letters)
+    alike = 0
+    for _ in range(150):
+        x = [rng.randrange(letters) for _ in range(width + rng.randrange(12))]
+        y = list(x)
+        for _ in range(rng.randrange(4)):
+            y[rng.randrange(len(y))] = rng.randrange(letters)
+        often = np.array(rng.sample(x, min(4, len(x))), np.int64)
+        whole = len(set(x)) == len(x) and len(set(y)) == len(y)
+        flat = np.array(x + y, np.uint64)
+        piece = np.repeat([0, 1], [len(x), len(y)])
+        at = passages.first_tokens(flat, piece, [often, often], np.array([whole, whole]), width, passages.SIMILAR)
+        met = set(flat[at[at < len(x)]].tolist()) & set(flat[at[at >= len(x)]].tolist())
+        found = [set(x[s : s + width]) for s in range(len(x) - width + 1)], [set(y[s : s + width]) for s in range(len(y) - width + 1)]
+        if any(len(a & b) >= 0.8 * len(a | b) for a in found[0] for b in found[1]):
+            alike += 1
+            assert met
+    assert alike > 30
+
+
+@pytest.mark.parametrize("letters", [3, 8, 30, 300])
+def test_similar_starts_of_texts_that_repeat_words(letters):
+    rng = random.Random(letters)
+    for _ in range(100):
+        x = [rng.randrange(letters) for _ in range(rng.randint(10, 60))]
+        y = [v if rng.random() < 0.9 else rng.randrange(letters) for v in x] + [1] * rng.randrange(2)
+        sets = [[set(z[s : s + 10]) for s in range(len(z) - 9)] for z in (x, y)]
+        want = [s for s, (a, b) in enumerate(zip(*sets, strict=False)) if len(a & b) >= 0.8 * len(a | b)]
+        assert passages.similar_starts(np.array(x, np.uint64), np.array(y, np.uint64), 10, 0.8).tolist() == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert passages.repeated(none).count() == 0 and near_dup.classes(none).count() == 0 and near_dup.keep_one(none).count() == 0
