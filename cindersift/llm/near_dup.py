@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written, with_ids
+from .common import MOST_SENT, with_ids, written
 from .graph import components
 from .tokens import MIX, WORD, WordHashes, mixed, runs
 
@@ -313,9 +313,11 @@ def _groups(nodes: DataFrame) -> DataFrame:
 
 def _met(groups: DataFrame) -> DataFrame:
     """The members of groups of two or more, with the first, the last and the number of the group; of groups with the same members one."""
-    ends = groups.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("all")).where("lo < hi")
-    ends = written(ends.groupBy("lo", "hi", "size", "all").agg(F.min("key").alias("key")).drop("all"))
-    return written(groups.join(ends, "key"))
+    group = Window.partitionBy("key")
+    members = {"lo": F.min("node"), "hi": F.max("node"), "size": F.count(F.lit(1)), "all": F.bit_xor(F.xxhash64("node"))}
+    met = groups.select("key", "node", *[what.over(group).alias(name) for name, what in members.items()]).where("lo < hi")
+    same = met.withColumn("first", F.min("key").over(Window.partitionBy(*members)))
+    return written(same.where("key = first").select("key", "node", "lo", "hi", "size"))
 
 
 def _pairs(df: DataFrame, other) -> DataFrame:
@@ -358,9 +360,9 @@ def _rare(members: DataFrame, d: DataFrame, least: float) -> DataFrame:
     """Groups of the nodes ``members`` by their rarest k-mers, ``(key, node)``; two that are alike are in one of them."""
     told = written(_texts(d, members).mapInPandas(_told(least), "node long, most int, grams array<long>"))
     each = told.select("node", "most", F.size("grams").alias("n"), F.explode("grams").alias("key"))
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    often = each.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("often > 1")
     own = Window.partitionBy("node")
-    met = each.join(often, "key").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("often", "key")))
+    met = often.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("often", "key")))
     return written(met.where("alone + nth <= most").select("node", "key"))
 
 
@@ -420,8 +422,8 @@ def _searched(nodes: DataFrame, d: DataFrame, least: float) -> DataFrame:
         first = met.where("node <> lo").groupBy(F.col("node").alias("a")).agg(F.min("lo").alias("b"))
         compare(first if found is None else _apart(first, _labels(found)), shared)
         large = met.where(F.col("size") > PAIRED)
-        shortest = large.join(nodes.select("node", "n_words"), "node").groupBy("key").agg(F.min(F.struct("n_words", "node"))["node"].alias("head"))
-        heads = met.select("node", F.explode(F.array("lo", "hi")).alias("head")).unionByName(large.join(shortest, "key").select("node", "head"))
+        shortest = large.join(nodes.select("node", "n_words"), "node").select("node", F.min(F.struct("n_words", "node")).over(Window.partitionBy("key"))["node"].alias("head"))
+        heads = met.select("node", F.explode(F.array("lo", "hi")).alias("head")).unionByName(shortest)
         compare(_apart(_pairs(heads, F.col("head")), _labels(found)), shared)
         compare(_crossed(met.where((F.col("size") > 3) & (F.col("size") <= PAIRED)), _labels(found)), shared)
         return _mixed(large, components(found))
@@ -456,7 +458,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the document with the smallest id, once; and rows without an id."""
     decided = written(classes(docs, id_col, **options))
     gone = decided.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
-    stay = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    few = gone.limit(MOST_SENT + 1).count() <= MOST_SENT
+    # The ids that go are sent to the texts where they are few, as a shuffle would move all texts.
+    stay = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
     again = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
     if again.isEmpty():
         return stay

@@ -262,6 +262,29 @@ def test_similar_starts_of_texts_that_repeat_words(letters):
         assert passages.similar_starts(np.array(x, np.uint64), np.array(y, np.uint64), 10, 0.8).tolist() == want
 
 
+def test_groups_are_met_without_a_join(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(near_dup, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    groups = spark.createDataFrame([(n, k) for k, ns in {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2], 4: [5], 5: [2, 4, 3, 1]}.items() for n in ns], "node long, key long")
+    got = sorted(tuple(r) for r in near_dup._met(groups).select("key", "node", "lo", "hi", "size").collect())
+    assert got == sorted([(1, n, 1, 3, 3) for n in (1, 2, 3)] + [(3, n, 1, 2, 2) for n in (1, 2)] + [(5, n, 1, 4, 4) for n in (1, 2, 3, 4)])
+    assert not any("Join" in p for p in plans)
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    _, base = corpus(5, 12)
+    rows = [(i, " ".join(b)) for i, b in enumerate([*base, base[0], base[3]])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dup.keep_one(spark.read.parquet(str(tmp_path / "docs")))
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in kept.collect()} == set(range(12))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert passages.repeated(none).count() == 0 and near_dup.classes(none).count() == 0 and near_dup.keep_one(none).count() == 0
