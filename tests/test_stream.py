@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cindersift.operators import watch
@@ -54,6 +55,41 @@ def test_order_over_triggers_ties_nulls_and_late_rows(spark, tmp_path):
     assert spark.conf.get(tape.STORE[0]) != tape.STORE[1]
 
 
+class Store:
+    """A state variable or a timer service in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.rows, self.kept = 0, [], {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "appendList":
+                self.rows += args[0]
+            elif name == "put":
+                self.rows = list(args[0])
+            elif name == "get":
+                return iter(self.rows)
+            elif name == "updateValue":
+                self.kept[args[0]] = args[1]
+            elif name == "containsKey":
+                return args[0] in self.kept
+            return False
+
+        return call
+
+
+def test_calls_of_the_state_store_do_not_grow_with_the_rows_of_a_ticker():
+    waiting, other = Store(), Store()
+    other.getMapState = other.getListState = lambda *a: waiting
+    other.getValueState = lambda *a: other
+    diff = tape.OrderedDiff()
+    diff.init(other)
+    rows = [Row(at=i, scanned_at=str(i), score=1.0, flags=["x"]) for i in range(500)]
+    assert list(diff.handleInputRows(("A",), iter(rows), None)) == []
+    assert waiting.calls + other.calls < 10
+
+
 def test_an_empty_stream_tells_nothing(spark):
     assert tape.replayed(spark.createDataFrame([], tape.SNAPSHOT)).count() == 0
 
