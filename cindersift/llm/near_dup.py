@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_SENT, with_ids, written
+from .common import MOST_SENT, listed, spread, with_ids, written
 from .graph import components
 from .tokens import MIX, WORD, WordHashes, mixed, runs
 
@@ -326,8 +326,8 @@ def _pairs(df: DataFrame, other) -> DataFrame:
 
 def _labels(found: DataFrame) -> DataFrame:
     """For the larger ends of links a name of their class: the least node they are linked to, or what that is linked to."""
-    own = written(found.groupBy("a").agg(F.min("b").alias("b")))
-    return written(own.join(own.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("label")))
+    own = listed(found.groupBy("a").agg(F.min("b").alias("b")))
+    return listed(own.join(own.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("label")))
 
 
 def _with_label(df: DataFrame, labels: DataFrame, name: str) -> DataFrame:
@@ -344,16 +344,17 @@ def _texts(d: DataFrame, ids: DataFrame) -> DataFrame:
     return with_ids(d.where("text IS NOT NULL"), ids, "doc_id").dropDuplicates(["doc_id"])
 
 
-def _compared(links: DataFrame, bags: DataFrame, d: DataFrame, least: float) -> DataFrame:
-    """The links that are alike. The larger end, which differs from link to link, is joined last, so that the
-    many links of one head are compared in many tasks."""
-    side = lambda c: bags.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}"), F.col("n_words").alias(f"n_{c}"))
-    near = written(links.join(side("b"), "b").join(side("a"), "a").mapInPandas(_near(least), "a long, b long"))
-    texts = written(_texts(d, written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())))
-    first = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def _compared(links: DataFrame, bags: DataFrame | None, d: DataFrame, least: float) -> DataFrame:
+    """The links that are alike, by ``bags`` first if they are given. The larger end, which differs from link to link,
+    is joined last, so that the many links of one head are compared in many tasks. Both ends read one shuffle of the texts."""
+    if bags is not None:
+        side = lambda c: bags.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}"), F.col("n_words").alias(f"n_{c}"))
+        links = written(spread(links.join(side("b"), "b").join(side("a"), "a")).mapInPandas(_near(least), "a long, b long"))
+    texts = _texts(d, links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))))
+    first = links.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     # A shuffle by ``a`` rather than a broadcast: alignment, not the bytes moved, is what the tasks share.
     pairs = first.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
-    return written(pairs.mapInPandas(_verified(least), "a long, b long"))
+    return written(spread(pairs).mapInPandas(_verified(least), "a long, b long"))
 
 
 def _rare(members: DataFrame, d: DataFrame, least: float) -> DataFrame:
@@ -385,7 +386,7 @@ def _blocked(mixed_: DataFrame, d: DataFrame, least: float) -> DataFrame:
 
     A group above ``BLOCK`` is dealt to parts, and each two parts are a block; a task holds two parts at most.
     """
-    wide = written(_texts(d, written(mixed_.select(F.col("node").alias("doc_id")).distinct())).mapInPandas(_widened, "node long, wide binary, n_words int"))
+    wide = _texts(d, mixed_.select(F.col("node").alias("doc_id"))).mapInPandas(_widened, "node long, wide binary, n_words int")
     wide = written(wide.join(mixed_.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = mixed_.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -406,16 +407,17 @@ def _searched(nodes: DataFrame, d: DataFrame, least: float) -> DataFrame:
     bags, keys = nodes.select("node", "bag", "n_words"), nodes.select("node", "keys")
     tried = found = None
 
-    def compare(links: DataFrame, shared: bool = True) -> None:
+    def compare(links: DataFrame, shared: bool = True, bounded: bool = False) -> None:
         nonlocal tried, found
-        links = written(links if tried is None else links.join(tried, ["a", "b"], "left_anti"))
+        links = listed(links if tried is None else links.join(tried, ["a", "b"], "left_anti"))
         if tried is not None and links.isEmpty():
             return
-        held = _compared(links, bags, d, least)
+        # What comes from blocks was compared by bags there.
+        held = _compared(links, None if bounded else bags, d, least)
         if not shared:
             side = lambda c: keys.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
-            held = written(held.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b"))
-        tried, found = (links, held) if tried is None else (written(tried.unionByName(links)), written(found.unionByName(held)))
+            held = listed(held.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b"))
+        tried, found = (links, held) if tried is None else (tried.unionByName(links), found.unionByName(held))
 
     def searched(met: DataFrame, shared: bool = True) -> DataFrame:
         """Compares the members of groups with heads and those of groups up to ``PAIRED`` with each other; the larger mixed groups are left."""
@@ -429,10 +431,10 @@ def _searched(nodes: DataFrame, d: DataFrame, least: float) -> DataFrame:
         return _mixed(large, components(found))
 
     left = searched(_met(_groups(nodes)))
-    compare(_blocked(left.where(F.col("size") <= BLOCK), d, least))
+    compare(_blocked(left.where(F.col("size") <= BLOCK), d, least), bounded=True)
     members = written(left.where(F.col("size") > BLOCK).select(F.col("node").alias("doc_id")).distinct())
     if not members.isEmpty():
-        compare(_blocked(searched(_met(_rare(members, d, least)), False), d, least), False)
+        compare(_blocked(searched(_met(_rare(members, d, least)), False), d, least), False, True)
     return found
 
 

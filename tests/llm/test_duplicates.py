@@ -285,6 +285,27 @@ def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_small_tables_of_ids_have_few_files(spark):
+    rng, base = corpus(41, 200, 40)
+    base[100:] = [edited(rng, b, 1) for b in base[:100]]
+    docs = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(base)], "doc_id long, text string")
+    links = spark.createDataFrame([(i + 100, j) for i in range(100) for j in (i, (i + 1) % 100)], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        alike = near_dup._compared(links, None, docs, near_dup.SIMILAR)
+        named = components(alike)
+        assert {(r.a, r.b) for r in alike.collect()} == {(i + 100, i) for i in range(100)}
+        assert {r.node: r.label for r in named.collect()} == {i: i % 100 for i in range(200)}
+        cores = spark.sparkContext.defaultParallelism
+        assert len(named.inputFiles()) <= cores and len(alike.inputFiles()) <= 2 * cores
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert passages.repeated(none).count() == 0 and near_dup.classes(none).count() == 0 and near_dup.keep_one(none).count() == 0
