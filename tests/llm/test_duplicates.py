@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cindersift.llm import near_dup, passages
@@ -262,6 +263,30 @@ def test_similar_starts_of_texts_that_repeat_words(letters):
         assert passages.similar_starts(np.array(x, np.uint64), np.array(y, np.uint64), 10, 0.8).tolist() == want
 
 
+def test_pairs_are_verified_at_once(monkeypatch):
+    rng = random.Random(6)
+    rows, want, slow = [], [], 0
+    for k in range(300):
+        letters = rng.choice([1, 2, 3, 4000, 100_000])
+        one = [rng.randrange(letters) for _ in range(rng.randrange(10, 60))]
+        two = [w if rng.random() < 0.95 else rng.randrange(letters) for w in one][: rng.randrange(8, 70)] + [1] * rng.randrange(2)
+        rows.append((k, 1000 + k, 5 * k, k - 9, np.array(one, np.int32), np.array(two, np.int32)))
+        x, y = (runs(np.array(w, np.int64).view(np.uint64), passages.SHINGLE) for w in (one, two))
+        n = min(len(x), len(y))
+        starts = passages.similar_starts(x, y, 10, 0.8).tolist() if min(len(one), len(two)) >= 14 else []
+        slow += one != two and bool(len(set(x[:n].tolist())) < n or len(set(y[:n].tolist())) < n)
+        for s in starts:
+            if s - 1 not in starts:
+                e = next(e for e in range(s, 99) if e + 1 not in starts)
+                want.append((k, 5 * k + s, 5 * k + e + 14, 1000 + k, 5 * k + s + k - 9, 5 * k + e + 14 + k - 9))
+    called, similar = [], passages.similar_starts
+    monkeypatch.setattr(passages, "similar_starts", lambda *x: called.append(1) or similar(*x))
+    batch = pd.DataFrame(rows, columns=["a", "b", "lo", "shift", "words_a", "words_b"])
+    got = pd.concat(passages._verified(10, 0.8)(iter([batch, batch[:0]])))
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(want) and len(want) > 100
+    assert slow > 50 and not called  # none is compared one by one
+
+
 def test_groups_are_met_without_a_join(spark, monkeypatch):
     plans = []
     monkeypatch.setattr(near_dup, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
